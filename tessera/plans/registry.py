@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "dedup_text_hash"
-MODULES = ("dedup",)
+MODULES = ("dedup", "relational", "tables")
 QUERIES, SQL = {}, {}
 for _m in MODULES:
     _q = import_module(f"tessera.plans.{_m}")
