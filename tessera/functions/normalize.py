@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.wordlists import ENTITY_SUFFIXES
 
@@ -18,7 +19,7 @@ DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMMM d
 CURRENCY = ("$", "€", "£", "¥", "₹", "₩", "CHF", "USD", "EUR", "GBP")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -48,7 +49,7 @@ def fold_entity(text: str) -> str:
     return " ".join(words) or text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold_entity, na_action="ignore")
 

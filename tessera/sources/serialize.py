@@ -78,8 +78,8 @@ def block_markdown() -> Column:
     t, e = F.col("text"), escape_markdown(F.col("text"))
     return (
         F.when(F.col("node_type") == "heading", F.concat(F.repeat(F.lit("#"), F.col("heading_depth")), F.lit(" "), F.replace(e, F.lit("\n"), F.lit(" "))))
-        .when(F.col("node_type") == "code_block", F.concat(_fence(t), F.coalesce(F.col("attrs")["language"], F.lit("")), F.lit("\n"), t, F.lit("\n"), _fence(t)))
-        .when(F.col("node_type") == "block_quote", F.concat(F.lit("> "), F.replace(e, F.lit("\n"), F.lit("\n> "))))
+        .when(F.col("node_type") == "codeblock", F.concat(_fence(t), F.coalesce(F.col("attrs")["language"], F.lit("")), F.lit("\n"), t, F.lit("\n"), _fence(t)))
+        .when(F.col("node_type") == "blockquote", F.concat(F.lit("> "), F.replace(e, F.lit("\n"), F.lit("\n> "))))
         .when(F.col("node_type") == "list_item", F.concat(F.coalesce(F.concat(F.col("attrs")["number"], F.lit(". ")), F.lit("- ")), e))
         .when(F.col("node_type") == "thematic_break", "---").when(F.col("node_type") == "math_block", F.concat(F.lit("$$\n"), t, F.lit("\n$$")))
         .when(F.col("node_type") == "figure", F.concat(F.lit("!["), e, F.lit("]("), safe_url(F.coalesce(F.col("attrs")["src"], F.lit(""))), F.lit(")")))
@@ -94,7 +94,7 @@ def block_html() -> Column:
     out = F.when(F.col("node_type") == "thematic_break", "<hr>").when(F.col("node_type") == "raw_block", "")
     for d in range(1, 7):
         out = out.when((F.col("node_type") == "heading") & (F.col("heading_depth") == d), tag(f"h{d}"))
-    return out.when(F.col("node_type") == "code_block", F.concat(F.lit("<pre"), page, F.lit("><code>"), e, F.lit("</code></pre>"))).when(F.col("node_type") == "block_quote", tag("blockquote")).when(F.col("node_type") == "list_item", tag("li")).when(F.col("node_type") == "figure", F.concat(F.lit('<img src="'), escape_html(safe_url(F.coalesce(F.col("attrs")["src"], F.lit("")))), F.lit('" alt="'), e, F.lit('">'))).otherwise(tag("p"))
+    return out.when(F.col("node_type") == "codeblock", F.concat(F.lit("<pre"), page, F.lit("><code>"), e, F.lit("</code></pre>"))).when(F.col("node_type") == "blockquote", tag("blockquote")).when(F.col("node_type") == "list_item", tag("li")).when(F.col("node_type") == "figure", F.concat(F.lit('<img src="'), escape_html(safe_url(F.coalesce(F.col("attrs")["src"], F.lit("")))), F.lit('" alt="'), e, F.lit('">'))).otherwise(tag("p"))
 
 
 def redact(blocks: DataFrame, marks: DataFrame) -> DataFrame:
