@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import broadcast_if_small, materialize
 
 #: Target weights of a production mix; sources that are not named have weight 1.
 WEIGHTS = {"src0": 6.0, "src1": 4.0, "src2": 3.0, "src3": 2.0, "src4": 2.0, "src5": 0.5}
@@ -102,6 +102,8 @@ def select_documents(docs: DataFrame, **how: object) -> DataFrame:
         .groupBy(F.coalesce("source", F.lit("")).alias("__s"))
         .agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "tokens", "digest")).alias("__last"))
     )
+    last = materialize(last, "last")  # a row a source; counted, so that the hint is given to a small table only
+    last = broadcast_if_small(last, last.count())
     src = F.coalesce(docs["source"], F.lit(""))
     place = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     here = F.struct(place.alias("place"), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))).alias("d"), n_tokens(docs["text"]).alias("tokens"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("digest"))
