@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sentences
 
-_UPTO = Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(Window.unboundedPreceding, 0)
-_PAST = Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(Window.unboundedPreceding, -1)
-_AHEAD = Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(1, Window.unboundedFollowing)
+def _frame(start: int, end: int):  # noqa: ANN202
+    return Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(start, end)
+
+
+def _upto():  # noqa: ANN202
+    return _frame(Window.unboundedPreceding, 0)
+
+
+def _past():  # noqa: ANN202
+    return _frame(Window.unboundedPreceding, -1)
+
+
+def _ahead():  # noqa: ANN202
+    return _frame(1, Window.unboundedFollowing)
 
 
 def pages(blocks: DataFrame) -> DataFrame:
     """Page of every block: its own, else the last one before it, else 1."""
-    return blocks.withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(_UPTO), F.lit(1)))
+    return blocks.withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(_upto()), F.lit(1)))
 
 
 def _heading(d: int) -> Column:
@@ -27,7 +38,7 @@ def _heading(d: int) -> Column:
 
 def heading_stack(blocks: DataFrame, inclusive: bool = True) -> DataFrame:
     """Adds h1..h6: the headings that a block stands under (root first, null where the level is skipped)."""
-    w = _UPTO if inclusive else _PAST
+    w = _upto() if inclusive else _past()
     got = blocks
     for d in range(1, 7):
         got = got.withColumn(f"__l{d}", F.last(_heading(d), ignorenulls=True).over(w))
@@ -47,9 +58,9 @@ def sections(blocks: DataFrame) -> DataFrame:
     parent = F.greatest(*[F.when(F.lit(d) < own, F.col(f"h{d}")) for d in range(1, 7)])
     last = blocks.groupBy("doc_id").agg((F.max("body_index") + 1).alias("size"), F.min("body_index").alias("first"))
     heads = heads.join(last, "doc_id")
-    after = [F.coalesce(F.min(F.when(F.col("heading_depth") <= d, F.col("body_index"))).over(_AHEAD), F.col("size")) for d in range(1, 7)]
+    after = [F.coalesce(F.min(F.when(F.col("heading_depth") <= d, F.col("body_index"))).over(_ahead()), F.col("size")) for d in range(1, 7)]
     end = F.element_at(F.array(*after), own)
-    out = heads.select("doc_id", F.col("body_index").alias("start"), own.alias("depth"), F.col("text").alias("title"), parent.alias("parent"), F.coalesce(F.min("body_index").over(_AHEAD), F.col("size")).alias("direct_end"), end.alias("end"))
+    out = heads.select("doc_id", F.col("body_index").alias("start"), own.alias("depth"), F.col("text").alias("title"), parent.alias("parent"), F.coalesce(F.min("body_index").over(_ahead()), F.col("size")).alias("direct_end"), end.alias("end"))
     firsts = heads.groupBy("doc_id").agg(F.min("body_index").alias("h"))
     pre = last.join(firsts, "doc_id", "left").where("h IS NULL OR h > first")
     stop = F.coalesce("h", "size")
@@ -67,7 +78,7 @@ def heading_path(blocks: DataFrame, inclusive: bool = True) -> DataFrame:
     """doc_id, body_index, section_title and path (titles of all headings above, root first) of every block."""
     got = heading_stack(blocks, inclusive)
     for d in range(1, 7):  # the title of the heading a column points at is a running value as well
-        got = got.withColumn(f"__t{d}", F.last(F.when((F.col("node_type") == "heading") & (F.col("heading_depth") == d), F.col("text")), ignorenulls=True).over(_UPTO if inclusive else _PAST))
+        got = got.withColumn(f"__t{d}", F.last(F.when((F.col("node_type") == "heading") & (F.col("heading_depth") == d), F.col("text")), ignorenulls=True).over(_upto() if inclusive else _past()))
     path = F.filter(F.array(*[F.when(F.col(f"h{d}").isNotNull(), F.col(f"__t{d}")) for d in range(1, 7)]), lambda x: x.isNotNull())
     return got.select("doc_id", "body_index", F.try_element_at(path, F.lit(-1)).alias("section_title"), path.alias("path"))
 
@@ -88,7 +99,7 @@ def sentence_units(blocks: DataFrame) -> DataFrame:
 
 def heading_proximate(blocks: DataFrame) -> DataFrame:
     """First paragraph under the body after a heading."""
-    since = F.sum(F.when(F.col("node_type") == "heading", 1).otherwise(0)).over(_UPTO)
+    since = F.sum(F.when(F.col("node_type") == "heading", 1).otherwise(0)).over(_upto())
     got = blocks.withColumn("g", since).where("node_type = 'paragraph' AND g > 0")
     return got.groupBy("doc_id", "g").agg(F.min("body_index").alias("body_index")).select("doc_id", "body_index")
 
