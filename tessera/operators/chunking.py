@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +58,23 @@ def pack(blocks: list[tuple[int, str, str]], most: int, overlap: int = 0) -> lis
 
 
 def chunk(blocks: DataFrame, depth: int = 2, most: int = 8000, overlap: int = 0, breadcrumbs: bool = False) -> DataFrame:
-    """Chunks of (doc_id, body_index, node_type, heading_depth, text); one group a section, so a long document isn't one task."""
+    """Chunks of (doc_id, body_index, node_type, heading_depth, text); a section is a group, so a long document isn't one task."""
     w = Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when((F.col("node_type") == "heading") & (F.col("heading_depth") <= depth), 1).otherwise(0)
     got = blocks.withColumn("section", F.sum(opens).over(w).cast("int"))
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("body_index")
-        rows = []
-        for k, part in enumerate(pack(list(zip(df["body_index"], df["node_type"], df["text"], strict=True)), most, overlap)):
-            text = "\n\n".join(t for _, _, t in part)
-            rows.append((int(key[0]), int(key[1]), k, int(part[0][0]), int(part[-1][0]), text, sum(len(t) for _, _, t in part)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, section, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, part in enumerate(pack([(b["body_index"], b["node_type"], b["text"]) for b in blocks], most, overlap)):
+                    rows.append((doc, section, k, part[0][0], part[-1][0], "\n\n".join(t for _, _, t in part), sum(len(t) for _, _, t in part)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
-    chunks = got.groupBy("doc_id", "section").applyInPandas(run, OUT)
+    ordered = F.array_sort(F.collect_list(F.struct("body_index", "node_type", "text")))
+    chunks = got.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "section").agg(ordered.alias("blocks")).mapInArrow(run, OUT)
     if not breadcrumbs:
         return chunks
     path = heading_path(blocks, inclusive=True).select("doc_id", F.col("body_index").alias("first_block"), F.array_join("path", " > ").alias("breadcrumb"))
