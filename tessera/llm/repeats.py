@@ -134,7 +134,7 @@ def repeated_starts(texts: pa.Array, first: np.ndarray, last: np.ndarray, least:
         s, length = names >> 20, names & ((1 << 20) - 1)
         head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         shared = np.minimum.reduceat(first[s], head) < np.maximum.reduceat(last[s], head)
-        keep = np.repeat(shared, np.diff(np.append(head, len(s))))
+        keep = np.repeat(shared, np.diff(np.append(head, len(s)))) & (length % digits == 0)  # at a word's first symbol
         out_s.append(s[keep])
         out_a.append((w.counts[s] * digits - length)[keep] // digits)
     for f in files[1:]:
