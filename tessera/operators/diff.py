@@ -42,7 +42,8 @@ def word_diff(a: str, b: str) -> list[tuple[str, str]]:
             out.append(("del", "".join(x[i1:i2])))
         if j2 > j1:
             out.append(("ins", "".join(y[j1:j2])))
-    return out
+    sides = {c for c, _ in out}
+    return out if "keep" in sides or sides == {"del", "ins"} else [("keep", ""), *out]  # so that a blank version is a block as well
 
 
 def compare_blocks(orig: list[str], rev: list[str], similar: float = 0.5, moved: float = 0.8, moves: bool = True) -> list[tuple[int, int, str, str | None, str]]:
