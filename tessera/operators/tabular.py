@@ -60,27 +60,34 @@ def infer_types(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*by).agg(widen(F.collect_set(value_type(F.col("kind"), F.col("value")))).alias("type"))
 
 
-def _shown(field: T.StructField) -> Column:
-    return F.col(f"`{field.name}`").cast("string")
-
-
 def column_stats(df: DataFrame, samples: int = 5) -> DataFrame:
-    """name, type, nulls, filled, distinct values, min, max (as text; NaN apart) and samples of every column, in one aggregate."""
-    aggs, names = [], []
+    """name, type, nulls, filled, distinct values, min, max (as text; NaN apart) and samples (from the first rows) of every column.
+
+    One pass of plain aggregates; distinct values are counted in long form, (column, value) rows that combine before
+    the shuffle, instead of one copy of the table a column.
+    """
+    aggs, names, pairs = [], [], []
     for i, f in enumerate(df.schema.fields):
         c, kind = F.col(f"`{f.name}`"), logical_type(f)
         ordered = kind in COMPARABLE
         clean = F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
-        orderable = not isinstance(f.dataType, T.MapType)
         aggs += [
-            F.count_if(c.isNull()).alias(f"nulls{i}"), F.count(c).alias(f"filled{i}"), (F.count_distinct(c) if orderable else F.lit(None).cast("long")).alias(f"distinct{i}"),
+            F.count_if(c.isNull()).alias(f"nulls{i}"), F.count(c).alias(f"filled{i}"),
             (F.min(clean).cast("string") if ordered else F.lit(None).cast("string")).alias(f"min{i}"),
             (F.max(clean).cast("string") if ordered else F.lit(None).cast("string")).alias(f"max{i}"),
-            F.slice(F.array_sort(F.collect_set(F.when(F.hash(c) % 997 == 0, _shown(f)))), 1, samples).alias(f"samples{i}"),
         ]
-        names.append(f"'{f.name.replace(chr(39), '')}', '{kind}', nulls{i}, filled{i}, distinct{i}, min{i}, max{i}, samples{i}")
-    row = df.agg(*aggs)
-    return row.select(F.expr(f"stack({len(names)}, {', '.join(names)}) AS (name, type, nulls, filled, distinct_values, min_value, max_value, samples)"))
+        names.append(f"{i}, '{f.name.replace(chr(39), '')}', '{kind}', nulls{i}, filled{i}, min{i}, max{i}")
+        shown = F.to_json(c) if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)) else c.cast("string")
+        pairs.append(F.struct(F.lit(i).alias("i"), shown.alias("v")))
+    row = df.agg(*aggs).select(F.expr(f"stack({len(names)}, {', '.join(names)}) AS (i, name, type, nulls, filled, min_value, max_value)"))
+
+    def long(t: DataFrame) -> DataFrame:
+        return t.select(F.explode(F.array(*pairs)).alias("p")).select("p.i", "p.v").where("v IS NOT NULL")
+
+    distinct = long(df).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct_values"))
+    shown = long(df.limit(200)).groupBy("i").agg(F.slice(F.array_sort(F.collect_set("v")), 1, samples).alias("samples"))
+    got = row.join(distinct, "i", "left").join(shown, "i", "left")
+    return got.select("name", "type", "nulls", "filled", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "min_value", "max_value", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def validate(rows: DataFrame, columns: list[str], declared: int | None = None) -> DataFrame:

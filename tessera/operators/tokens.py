@@ -15,7 +15,7 @@ def frequency(df: DataFrame, *by: str) -> DataFrame:
 
 def ngram_counts(blocks: DataFrame, longest: int = 3) -> DataFrame:
     """doc_id, ngram, n over 1 to `longest` topical tokens; stopwords go before windows are cut, and no window spans two blocks."""
-    kept = blocks.select("doc_id", topical(tokens(F.col("text"))).alias("ts")).where(F.size("ts") > 0)
+    kept = blocks.select("doc_id", topical(tokens(F.col("text"))).alias("ts"))
     grams = F.concat(*[ngrams(F.col("ts"), n) for n in range(1, longest + 1)])
     return kept.select("doc_id", F.explode(grams).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
 

@@ -12,7 +12,7 @@ from tessera.operators import diff as X
 from tessera.operators import layout as L
 from tessera.operators.graph import connected_components
 from tessera.plans.docs import line_blocks
-from tessera.session import table
+from tessera.session import table, texts
 from tessera.streaming import events as S
 
 QUERIES, SQL = {}, {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("text").cast("binary").alias("content"))
+    return texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text", F.col("text").cast("binary").alias("content"))
 
 
 @query("""WITH k AS (SELECT doc_id AS ord, sha256(text) h FROM documents), g AS (SELECT h, min(ord) canonical FROM k GROUP BY h HAVING count(*) > 1)
@@ -110,7 +110,7 @@ def _canonical(rule: str, order: str) -> None:
     sql = f"""WITH k AS (SELECT source, doc_id, text FROM documents) SELECT source AS cluster_id, doc_id AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {order}doc_id) r FROM k) WHERE r = 1"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = table(spark, sf_dir, "documents")
+        d = texts(spark, sf_dir, "documents")
         c = d.select(F.lit("x").alias("level"), F.col("source").alias("cluster_id"), F.lit(0).cast("long").alias("canonical"), F.col("doc_id").alias("member"), F.lit(0).alias("member_ord"), F.lit(1.0).alias("similarity"))
         return D.recanonicalize(c, d.select(F.col("doc_id").alias("ord"), "text"), rule).select("cluster_id", "canonical").distinct()
 
@@ -142,7 +142,7 @@ def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("ord"), F.col("quality").cast("long").alias("cluster_id"), "text")
+    return texts(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("ord"), F.col("quality").cast("long").alias("cluster_id"), "text")
 
 
 def _ctfidf_sql() -> str:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import texts
 
 QUERIES, SQL = {}, {}
 
 
 def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    docs = texts(spark, sf_dir, "documents").where("trim(text) <> ''")
     norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
     key = docs.select("doc_id", F.sha2(norm, 256).alias("h"))
     held = key.groupBy("h").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1")

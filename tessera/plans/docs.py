@@ -11,7 +11,7 @@ from tessera.operators import entities as E
 from tessera.operators import search as R
 from tessera.operators import tokens as K
 from tessera.operators import views as V
-from tessera.session import table
+from tessera.session import table, texts
 from tessera.sources import html, nodes, plain, serialize
 
 QUERIES, SQL = {}, {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of `documents` as blocks: lines of one to three words are headings of that depth; every seventh line begins a page."""
     words = F.size(F.split(F.col("text"), " "))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("body_index", "text"))
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("body_index", "text"))
     head = words <= 3
     return lines.select("doc_id", "body_index", F.when(head, "heading").otherwise("paragraph").alias("node_type"), F.when(head, words).alias("heading_depth"), "text", F.when((F.col("body_index") > 0) & (F.col("body_index") % 7 == 0), (F.col("body_index") / 7 + 1).cast("int")).alias("page"))
 
@@ -43,11 +43,11 @@ CASE WHEN body_index > 0 AND body_index % 7 = 0 THEN CAST(body_index // 7 + 1 AS
 
 @query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS body_index, text FROM (SELECT doc_id, trim(p, ' ' || chr(10)) AS text, i FROM (SELECT doc_id, unnest(string_split(text, '. ')) p, generate_subscripts(string_split(text, '. '), 1) i FROM documents)) WHERE text <> ''""")
 def parse_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain.paragraphs(table(spark, sf_dir, "documents"), sep=r"\. ").select("doc_id", "body_index", "text")
+    return plain.paragraphs(texts(spark, sf_dir, "documents"), sep=r"\. ").select("doc_id", "body_index", "text")
 
 
 def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.parse(table(spark, sf_dir, "pages"), html.parse_html, "page_id", "html", "url")
+    return nodes.parse(texts(spark, sf_dir, "pages"), html.parse_html, "page_id", "html", "url")
 
 
 @query(r"""SELECT page_id AS doc_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>')) FROM pages) GROUP BY page_id""")
@@ -77,20 +77,20 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, regexp_replace(html, '<p>', '[p]', 'g') IS NOT NULL AS ok, contains(left(html, 2000), 'ix:') OR contains(left(html, 2000), 'inlineXBRL') OR contains(lower(left(html, 2000)), 'xbrl') AS xbrl, length(html) AS n FROM pages""")
 def strip_inline_xbrl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages")
     return p.select("page_id", F.lit(True).alias("ok"), X.looks_like_xbrl(F.col("html")).alias("xbrl"), F.length(X.strip_inline_xbrl(F.concat(F.lit("<?xml version='1.0'?>"), F.col("html")))).cast("long").alias("n"))
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(u, '^([A-Za-z][A-Za-z0-9+.-]*:|//|#)') THEN u WHEN left(u, 1) = '/' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || u END AS href
 FROM (SELECT page_id, url, unnest(['/a/b', '//cdn.example/x', 'https://o.example/', '#top', '/' || page_id]) u FROM pages)""")
 def resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(F.lit("/a/b"), F.lit("//cdn.example/x"), F.lit("https://o.example/"), F.lit("#top"), F.concat(F.lit("/"), F.col("page_id")))).alias("u"))
+    p = texts(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(F.lit("/a/b"), F.lit("//cdn.example/x"), F.lit("https://o.example/"), F.lit("#top"), F.concat(F.lit("/"), F.col("page_id")))).alias("u"))
     return p.select("page_id", X.resolve_url(F.col("u"), F.col("url")).alias("href"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", N.normalize_text(F.col("text")).alias("norm"))
+    d = texts(spark, sf_dir, "documents").select("doc_id", N.normalize_text(F.col("text")).alias("norm"))
     return d.withColumn("h", N.canonical_hash(F.col("norm")))
 
 
@@ -177,7 +177,7 @@ def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 body_index FROM documents), m AS (SELECT doc_id, CAST(body_index AS INTEGER) AS body_index, trim(t) AS t FROM l)
 SELECT doc_id, body_index, 1 AS heading_depth FROM m WHERE length(t) BETWEEN 1 AND 80 AND NOT regexp_matches(t, '[.;,:]$') AND NOT regexp_matches(t, '^#{1,6}\s') AND ((regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}')) OR (regexp_extract(t, '^(\d+(?:\.\d+)*)[.)]?\s+\S', 1) <> ''))""")
 def infer_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("body_index", "text"))
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("body_index", "text"))
     return V.infer_headings(lines).where("node_type = 'heading'").select("doc_id", "body_index", "heading_depth")
 
 
@@ -186,12 +186,12 @@ _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')"
 
 @query(rf"SELECT token, count(*) AS n FROM (SELECT unnest({_T}) AS token FROM documents) GROUP BY token")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.frequency(table(spark, sf_dir, "documents").select("text"))
+    return K.frequency(texts(spark, sf_dir, "documents").select("text"))
 
 
 @query(rf"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_T}) AS token FROM documents) GROUP BY doc_id, token")
 def token_frequency_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.frequency(table(spark, sf_dir, "documents"), "doc_id")
+    return K.frequency(texts(spark, sf_dir, "documents"), "doc_id")
 
 
 def _stop_sql() -> str:
@@ -226,7 +226,7 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    d = texts(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
     return d.select("doc_id", F.size("ls").alias("total"), F.posexplode("ls").alias("n", "text")).withColumn("after_heading", F.col("n") == 1)
 
 
@@ -249,7 +249,7 @@ for _k in E.TYPES:
 
 @query()
 def entity_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(E.matches("number")("text")).alias("m")).select("doc_id", "m.*")
+    return texts(spark, sf_dir, "documents").select("doc_id", F.explode(E.matches("number")("text")).alias("m")).select("doc_id", "m.*")
 
 
 def _tf_sql(q: str) -> str:
@@ -259,7 +259,7 @@ def _tf_sql(q: str) -> str:
 
 @query(_tf_sql("the and"))
 def search_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(R.term_frequency(table(spark, sf_dir, "documents"), "the and").select("doc_id", "score"), 10, "doc_id")
+    return R.top(R.term_frequency(texts(spark, sf_dir, "documents"), "the and").select("doc_id", "score"), 10, "doc_id")
 
 
 def _bm25_sql(terms: list[str], by: str = "") -> str:
@@ -273,7 +273,7 @@ r AS (SELECT doc_id, "row", round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "text"))
 
 
 @query(f"WITH {_bm25_sql(['the', 'idiot', 'license'])} SELECT * FROM r")
@@ -302,7 +302,7 @@ def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("row"), "text")
+    d = texts(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("row"), "text")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "embedding")
     q = [1.0] + [0.0] * 63
     return R.hybrid(R.bm25(d, "the with from").select("row", "score"), e, q, 10)
