@@ -139,3 +139,30 @@ def annotations_at(annotations: DataFrame, points: DataFrame) -> DataFrame:
     """Annotations of a node that hold an offset: [start, end), null offsets hold all."""
     inside = (F.coalesce("start", F.lit(0)) <= F.col("offset")) & (F.col("end").isNull() | (F.col("offset") < F.col("end")))
     return annotations.join(points, ["doc_id", "node_ref"]).where(inside)
+
+
+def table_cells(nodes: DataFrame) -> DataFrame:
+    """Cells of top-level tables: doc_id, table_n, name (caption, else table_N), section, row, col, text. Rows count over sections."""
+    tables = nodes.where("node_type = 'table' AND depth = 1").select("doc_id", F.col("path")[1].alias("at"), F.col("attrs")["caption"].alias("caption"))
+    tables = tables.withColumn("table_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")))
+    inside = nodes.where(F.col("path")[0] == 0).withColumn("at", F.col("path")[1])
+    sections = inside.where("node_type = 'table_section' AND depth = 2").select("doc_id", "at", F.col("path")[2].alias("s"), F.col("attrs")["section"].alias("section"))
+    cells = inside.where("node_type = 'cell' AND depth = 4").select("doc_id", "at", F.col("path")[2].alias("s"), F.col("path")[3].alias("r"), F.col("path")[4].alias("col"))
+    text = extract_text(inside.where("depth >= 4").withColumn("s", F.col("path")[2]).withColumn("r", F.col("path")[3]).withColumn("col", F.col("path")[4]), "doc_id", "at", "s", "r", "col")
+    row = F.dense_rank().over(Window.partitionBy("doc_id", "at").orderBy("s", "r")) - 1
+    got = cells.join(tables, ["doc_id", "at"]).join(sections, ["doc_id", "at", "s"]).join(text, ["doc_id", "at", "s", "r", "col"])
+    return got.select("doc_id", "table_n", F.coalesce("caption", F.concat(F.lit("table_"), F.col("table_n"))).alias("name"), "section", row.alias("row"), "col", F.trim("text").alias("text"))
+
+
+def tabular(cells: DataFrame) -> DataFrame:
+    """Columns of extracted tables: doc_id, table_n, name, col, header, type and values in row order; short rows are padded with nulls."""
+    from tessera.functions.normalize import coerce_value
+    from tessera.operators.tabular import value_type, widen
+
+    heads = cells.where("section = 'head'").groupBy("doc_id", "table_n", "col").agg(F.max_by("text", "row").alias("header"))
+    body = cells.where("section <> 'head'")
+    grid = body.select("doc_id", "table_n", "name", "row").distinct().join(cells.select("doc_id", "table_n", "col").distinct(), ["doc_id", "table_n"])
+    v = coerce_value(F.col("text"))
+    full = grid.join(body.select("doc_id", "table_n", "row", "col", v["kind"].alias("kind"), v["value"].alias("value")), ["doc_id", "table_n", "row", "col"], "left")
+    got = full.groupBy("doc_id", "table_n", "name", "col").agg(widen(F.collect_set(value_type(F.coalesce("kind", F.lit("null")), F.col("value")))).alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]).alias("values"))
+    return got.join(heads, ["doc_id", "table_n", "col"], "left").withColumn("header", F.coalesce(F.nullif("header", F.lit("")), F.concat(F.lit("col_"), F.col("col") + 1)))

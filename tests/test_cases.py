@@ -388,3 +388,23 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "id int, ts string, text string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{d}/texts.parquet")
     df = spark.readStream.schema("id int, ts timestamp, text string").parquet(f"{d}/texts.parquet")
     assert sorted(r.text.lower() for r in S.drain(S.distinct_text(df)).collect()) == ["a", "b"]
+
+
+def test_extracted_tables(spark):
+    page = "<table><caption>Prices</caption><thead><tr><th>item<th>price</thead><tr><td>a<td>$1,200<tr><td>b<td>3.5<tr><td>c</table><table><tr><td>1<td>2</table>"
+    n = nodes.parse(values(spark, [page]).withColumnsRenamed({"i": "doc_id", "v": "html"}), html.parse_html, "doc_id", "html")
+    got = {(r.name, r.header): (r.type, list(r["values"])) for r in nodes.tabular(nodes.table_cells(n)).collect()}
+    assert got == {("Prices", "item"): ("TEXT", ["a", "b", "c"]), ("Prices", "price"): ("FLOAT", ["1200", "3.5", None]), ("table_2", "col_1"): ("INTEGER", ["1"]), ("table_2", "col_2"): ("INTEGER", ["2"])}
+
+
+def test_stored_tables(spark, tmp_path, monkeypatch):
+    from tessera.sources import store
+
+    df = spark.createDataFrame([(1, None, 2.5), (2, "é", None)], "a int, b string, c double")
+    assert store.from_artifact(spark, store.to_artifact(df, "t")).collect() == df.collect()
+    assert store.load(spark, store.store(df, f"{tmp_path}/t")).count() == 2 and store.unique_name("A b/c").startswith("A-b-c-")
+    monkeypatch.setattr(store, "CAP", 10)
+    with pytest.raises(ValueError):
+        store.to_artifact(df, "t")
+    with pytest.raises(ValueError):
+        store.from_artifact(spark, '{"mime": "x"}')
