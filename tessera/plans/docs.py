@@ -11,7 +11,7 @@ from tessera.operators import entities as E
 from tessera.operators import search as R
 from tessera.operators import tokens as K
 from tessera.operators import views as V
-from tessera.session import table, texts
+from tessera.session import materialize, table, texts
 from tessera.sources import html, nodes, plain, serialize
 
 QUERIES, SQL = {}, {}
@@ -57,7 +57,7 @@ def parse_html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parse_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.block_table(_page_nodes(spark, sf_dir)).select("doc_id", "body_index", "node_type", "heading_depth", "text")
+    return nodes.block_table(materialize(_page_nodes(spark, sf_dir), "nodes")).select("doc_id", "body_index", "node_type", "heading_depth", "text")
 
 
 @query()
@@ -72,7 +72,7 @@ def html_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serialize.document(nodes.block_table(_page_nodes(spark, sf_dir)), "markdown")
+    return serialize.document(nodes.block_table(materialize(_page_nodes(spark, sf_dir), "nodes")), "markdown")
 
 
 @query(r"""SELECT page_id, regexp_replace(html, '<p>', '[p]', 'g') IS NOT NULL AS ok, contains(left(html, 2000), 'ix:') OR contains(left(html, 2000), 'inlineXBRL') OR contains(lower(left(html, 2000)), 'xbrl') AS xbrl, length(html) AS n FROM pages""")

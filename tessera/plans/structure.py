@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import layout as L
 from tessera.plans.analysis import _boxes
 from tessera.plans.docs import BLOCKS, line_blocks
-from tessera.session import table, texts
+from tessera.session import materialize, table, texts
 from tessera.sources import html, nodes, serialize, store
 
 QUERIES, SQL = {}, {}
@@ -50,7 +50,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a, b in (("<nav>", "<div>"), ("</nav>", "</div>"), ("<ul>", "<table><tr>"), ("</ul>", "</tr></table>"), ("<li>", "<td>"), ("</li>", "</td>")):
         page = F.replace(page, F.lit(a), F.lit(b))
     found = nodes.parse(texts(spark, sf_dir, "pages").select("page_id", page.alias("html")), html.parse_html, "page_id", "html")
-    return nodes.table_cells(found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"))
+    return nodes.table_cells(materialize(found, "nodes")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
