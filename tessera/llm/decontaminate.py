@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds are runs of `SEED` words of the benchmark items. A pass over the corpus counts in how many documents each occurs;
-an item keeps the seeds that at most `RARE` of the documents have and, of the others, what it takes to have at least half of its
-seeds, rarest first, so that an item of common words is searched too. A second pass looks every run of words of
-every document up among the seeds. A hit places the item beside the document; the stretch there, widened by a third of
-the item, is aligned with the whole item (match 2, mismatch -1, gap -1), overlapping stretches of an item as one. The
-score is the share of the best possible, 2 x words of the item; from `SCORE` on the document holds a copy, exact,
-edited or paraphrased in places.
+Seeds are all runs of `SEED` words of the benchmark items, common ones too, so that a copy is found however many
+documents hold it. One pass looks every run of words of every document up among the seeds. A hit places the item
+beside the document; the stretch there, widened by a third of the item, overlapping stretches of an item as one, is
+aligned with the whole item (match 2, mismatch -1, gap -1). The score is the share of the best possible, 2 x words of
+the item; from `SCORE` on the document holds a copy, exact, edited or paraphrased in places. Stretches that share too
+few words with the item to reach that in any order, which is what most hits of common seeds are, are not aligned.
 
 Items and seeds are broadcast in slabs of at most `SLAB` words of benchmark text, one pass over the corpus a slab, so
-neither grows with the benchmark beyond that; no text is shuffled. Only (seed, count) rows of one number a seed and task are.
+neither grows with the benchmark beyond that; nothing is shuffled.
 
 Defined cases: null and empty texts and items match nothing, nor do items of fewer than `SEED` words; equal rows give
 equal rows; items with equal ids are told apart by their text and reported by id (once, with the best score); a null
@@ -28,11 +27,12 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 
 SEED = 4
-RARE = 0.002
 SCORE = 0.5
 SLAB = 400_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _CELLS = 1 << 21
+_PAIRS = 1 << 18
+_WORDS = 1 << 20
 
 
 class Slab:
@@ -46,6 +46,9 @@ class Slab:
         item = np.repeat(np.arange(len(ids)), w.counts)[at[order]]
         self.gram, self.item, self.place = grams[order], item, at[order] - w.offsets[item]
         self.keys, self.first = np.unique(self.gram, return_index=True)
+        # words of each item, and how often it has them
+        self.vocabulary, word = np.unique(self.words, return_inverse=True)
+        self.held, self.times = np.unique(np.repeat(np.arange(len(ids)), w.counts) * len(self.vocabulary) + word, return_counts=True)
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of known runs, and which key each is."""
@@ -55,18 +58,24 @@ class Slab:
         at = np.flatnonzero(self.keys[k] == grams)
         return at, k[at]
 
-    def keep_rare(self, df: np.ndarray, documents: int, rare: float) -> None:
-        """Drop seeds that are common, but never more than half of an item's."""
-        of = np.searchsorted(self.keys, self.gram)
-        order = np.lexsort((self.gram, df[of], self.item))
-        item = self.item[order]
-        start = np.searchsorted(item, np.arange(len(self.ids)))
-        total = np.bincount(item, minlength=len(self.ids))
-        rank = np.arange(len(item)) - start[item]
-        keep = np.zeros(len(item), bool)
-        keep[order] = (df[of][order] <= rare * documents) | (rank < (total[item] + 1) // 2)
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.keys, self.first = np.unique(self.gram, return_index=True)
+    def most_matches(self, w: tk.Words, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many words of each item its stretch has, whatever their order: no alignment matches more."""
+        most, size = np.zeros(len(item), np.int64), hi - lo
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _WORDS, "right")))
+            row = np.repeat(np.arange(at, to), size[at:to])
+            h = w.hash[np.arange(len(row)) - np.repeat(upto[at:to] - size[at:to] - lo[at:to] - (upto[at - 1] if at else 0), size[at:to])]
+            known = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+            same = np.flatnonzero(self.vocabulary[known] == h)
+            row, word = row[same], item[row[same]] * len(self.vocabulary) + known[same]
+            held = np.minimum(np.searchsorted(self.held, word), len(self.held) - 1)
+            same = np.flatnonzero(self.held[held] == word)
+            pair, n = np.unique(row[same] * len(self.held) + held[same], return_counts=True)
+            np.add.at(most, pair // len(self.held), np.minimum(n, self.times[pair % len(self.held)]))
+            at = to
+        return most
 
 
 def align(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -86,15 +95,26 @@ def align(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.nd
     return best
 
 
-def scores(slab: Slab, w: tk.Words) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document of the batch, item, score, first and last word of the stretch) of every candidate stretch."""
+def scores(slab: Slab, w: tk.Words, least: float = 0.0) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document of the batch, item, score, first and last word of the stretch) of the candidate stretches, all that score at least so much among them."""
     grams, at = tk.ngrams(w, SEED)
     hit, key = slab.find(grams)
-    if not len(hit):
-        return
+    where = at[hit]
+    upto = np.cumsum(np.append(slab.first[1:], len(slab.gram))[key] - slab.first[key]) if len(hit) else where
+    # documents at a time, so that pairs of a hit and an item stay bounded
+    ends = np.flatnonzero(np.diff(np.searchsorted(w.offsets, where, "right"), append=-1)) + 1
+    at = 0
+    while at < len(where):
+        k = np.searchsorted(upto[ends - 1], (upto[at - 1] if at else 0) + _PAIRS, "right") - 1
+        to = ends[max(k, np.searchsorted(ends, at, "right"))]
+        yield from _scores(slab, w, where[at:to], key[at:to], least)
+        at = to
+
+
+def _scores(slab: Slab, w: tk.Words, at: np.ndarray, key: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int]]:
     upto = np.append(slab.first[1:], len(slab.gram))
     times = upto[key] - slab.first[key]
-    where = np.repeat(at[hit], times)
+    where = np.repeat(at, times)
     run = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(slab.first[key], times)
     item, place = slab.item[run], slab.place[run]
     doc = np.searchsorted(w.offsets, where, "right") - 1
@@ -111,7 +131,10 @@ def scores(slab: Slab, w: tk.Words) -> Iterator[tuple[int, int, float, int, int]
     new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (lo[1:] > far[:-1])])
     head = np.flatnonzero(new)
     doc, item, lo, hi = doc[head], item[head], lo[head], np.maximum.reduceat(hi, head)
-    la, lb = slab.offsets[item + 1] - slab.offsets[item], hi - lo
+    la = slab.offsets[item + 1] - slab.offsets[item]
+    near = slab.most_matches(w, item, lo, hi) / la >= least
+    doc, item, lo, hi, la = doc[near], item[near], lo[near], hi[near], la[near]
+    lb = hi - lo
     order = np.lexsort((lb, la))
     at = 0
     while at < len(order):
@@ -146,33 +169,10 @@ def slabs(benchmark: DataFrame, most: int = SLAB) -> Iterator[Slab]:
         yield Slab(ids, texts)
 
 
-def _document_counts(docs: DataFrame, slab: Slab) -> tuple[np.ndarray, int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(slab.keys), np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for part in tk.slices(batch, "text"):
-                w = tk.words(part.column("text"))
-                grams, at = tk.ngrams(w, SEED)
-                hit, key = slab.find(grams)
-                doc = np.searchsorted(w.offsets, at[hit], "right") - 1
-                seen = np.unique(doc * np.int64(len(slab.keys)) + key)
-                np.add.at(df, seen % max(1, len(slab.keys)), 1)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["k", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(slab.keys), np.int64)
-    got = rows[rows["k"] >= 0]
-    df[got["k"].to_numpy()] = got["n"].to_numpy()
-    return df, int(rows.loc[rows["k"] < 0, "n"].sum())
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare: float = RARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, item_id, score, from_word, to_word: the best stretch of each item that a document holds."""
     spark, found = docs.sparkSession, None
     for slab in slabs(benchmark):
-        slab.keep_rare(*_document_counts(docs, slab), rare)
         sent = spark.sparkContext.broadcast(slab)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, ra
             for batch in batches:
                 for part in tk.slices(batch, "text"):
                     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                    for d, i, s, lo, hi in scores(slab, tk.words(part.column("text"))):
+                    for d, i, s, lo, hi in scores(slab, tk.words(part.column("text")), score):
                         k = (d, int(slab.ids[i]))
                         if s >= score and (k not in best or (s, -lo) > (best[k][0], -best[k][1])):
                             best[k] = (s, lo, hi)
@@ -196,19 +196,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, ra
     return found
 
 
-def reject_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare: float = RARE) -> DataFrame:
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """The documents that hold no item, all columns, texts unmoved (one filter a slab)."""
     k, spark = docs.columns.index("text"), docs.sparkSession
     out = docs
     for slab in slabs(benchmark):
-        slab.keep_rare(*_document_counts(docs, slab), rare)
         sent = spark.sparkContext.broadcast(slab)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
                 for part in tk.slices(batch, "text"):
                     clean = np.ones(part.num_rows, bool)
-                    for d, _, s, _, _ in scores(sent.value, tk.words(part.column(k))):
+                    for d, _, s, _, _ in scores(sent.value, tk.words(part.column(k)), score):
                         clean[d] &= s < score
                     yield part.filter(pa.array(clean))
 

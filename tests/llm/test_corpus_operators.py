@@ -432,6 +432,34 @@ def test_contaminated_documents_are_those_of_full_alignment(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(62)) - {d for d, _ in got}
 
 
+def test_edited_copies_are_found_however_many_hold_them(spark):
+    rng = random.Random(15)
+    item = prose(rng, 24).split()
+    edited = " ".join(item[:12] + [x if i % 4 else "edited" for i, x in enumerate(item[12:])])
+    half = " ".join(item[:12])
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    for copies, others in ((1, 59), (1000, 9000)):
+        for piece in (edited, half):
+            docs = docs_of(spark, [f"{prose(rng, 6)} {piece} {prose(rng, 6)}" for _ in range(copies)] + [prose(rng, 12) for _ in range(others)])
+            got = {r.doc_id: r.score for r in decontaminate.contaminated(docs, bench).collect()}
+            assert set(got) == set(range(copies)) and min(got.values()) >= decontaminate.SCORE
+            assert decontaminate.reject_contaminated(docs, bench).count() == others
+
+
+def test_common_seeds_in_bounded_pieces(monkeypatch):
+    rng = random.Random(16)
+    items = ["which of the following is " + prose(rng, 10) for _ in range(20)]
+    texts = [f"{items[i % 20]} {prose(rng, 5)} which of the following is {prose(rng, 8)}" for i in range(30)] + ["", "which of the following is " * 9]
+    slab, w = decontaminate.Slab(list(range(20)), items), tk.words(pa.array(texts))
+    every = sorted(decontaminate.scores(slab, w))
+    best = [x for x in every if x[2] >= 0.5]
+    assert sorted({(d, i) for d, i, *_ in best}) == [(i, i % 20) for i in range(30)]
+    monkeypatch.setattr(decontaminate, "_PAIRS", 7)
+    monkeypatch.setattr(decontaminate, "_WORDS", 50)
+    assert sorted(decontaminate.scores(slab, w)) == every
+    assert [x for x in sorted(decontaminate.scores(slab, w, 0.5)) if x[2] >= 0.5] == best
+
+
 def test_slabs_give_the_same_as_one(spark, monkeypatch):
     rng = random.Random(11)
     items = [prose(rng, 15) for _ in range(6)]
