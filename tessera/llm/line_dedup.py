@@ -15,12 +15,20 @@ Defined cases: null texts stay null, empty ones empty; a text of one line never
 last and are removed if any document with an id has them; rows that share a doc_id hold their chunks in common (each
 keeps them, if no smaller id has them); the order and bytes of the other lines never change; a column called
 `removed_lines` is replaced, others pass through.
+
+`repeated_lines` does without chunks, which leave out most short passages: it removes every run of at least two lines that
+aren't blank which stands earlier in the corpus, smallest (doc_id, text hash, line) first. Two successive such lines and
+the blank ones between them are a seed; a run is repeated where all its seeds are, so marking each later place of a
+seed finds whole runs, whatever their length and offset. Seeds are narrow rows of a 256-bit BLAKE2b hash, which stands
+for the bytes, and their place; texts move once, by id, to meet their removals. The first place of every line stays, so
+of a line that follows itself k times one does; blank lines around a removed run stay; rows with equal id and text
+keep their runs in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
+from hashlib import blake2b, md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,10 +118,77 @@ def line_dedup(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     return met.mapInArrow(_cut(mean), schema)
 
 
+def seeds(text: str) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, bytes) of each two successive lines that aren't blank, with the blank ones between."""
+    lines = text.split("\n")
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    for i, j in zip(full, full[1:]):
+        yield i, j, "\n".join(lines[i : j + 1])
+
+
+def _row(text: str | None) -> int:
+    return int.from_bytes(blake2b((text or "").encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            ids, rows, lines, digests = [], [], [], []
+            for doc, text in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist(), strict=True):
+                row = _row(text)
+                for i, _, seed in seeds(text or ""):
+                    ids.append(doc)
+                    rows.append(row)
+                    lines.append(i)
+                    digests.append(blake2b(seed.encode(), digest_size=32).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(lines, pa.int64()), pa.array(digests, pa.binary())], names=["id", "row", "line", "digest"])
+
+
+def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_row(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], names=[*batch.schema.names, "__row"])
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k, g = batch.schema.get_field_index("text"), batch.schema.get_field_index("__gone")
+        texts, counts = [], []
+        for text, gone in zip(batch.column(k).to_pylist(), batch.column(g).to_pylist(), strict=True):
+            cut = set()
+            if gone:
+                lines, gone = text.split("\n"), set(gone)
+                for i, j, _ in seeds(text):
+                    if i in gone:
+                        cut.update(range(i, j + 1))
+                text = "\n".join(x for i, x in enumerate(lines) if i not in cut)
+            texts.append(text)
+            counts.append(len(cut))
+        cols = [pa.array(texts, pa.string()) if i == k else pa.array(counts, pa.int32()) if i == g else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(cols, names=[n if n != "__gone" else "removed_lines" for n in batch.schema.names])
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents without the runs of two lines or more that the corpus holds earlier, and removed_lines."""
+    docs = docs.drop("removed_lines")
+    key = F.coalesce(docs["doc_id"], F.lit(_LAST))
+    places = docs.select(key.alias("id"), "text").mapInArrow(_places, "id long, row long, line long, digest binary")
+    here = F.struct("id", "row", "line")
+    shared = places.groupBy("digest").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    gone = places.join(shared, "digest").where(here > F.col("first")).groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    keyed = docs.withColumn("__id", key).mapInArrow(_key, f"{fields}, __id long, __row long")
+    return keyed.join(gone, ["__id", "__row"], "left").drop("__id", "__row").mapInArrow(_cut_lines, f"{fields}, removed_lines int")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def query_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 SQL_TEXT = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i FROM documents),
 h AS (SELECT *, CAST('0x' || left(md5(line), 7) AS BIGINT) h FROM l),
@@ -124,5 +199,5 @@ f AS (SELECT *, n >= {MIN_LINES} AND full_lines >= {MIN_LINES} AND row_number()
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') END AS text, CAST(coalesce(x.m, 0) AS INTEGER) AS removed_lines
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, sum(n) FILTER (WHERE gone) AS m FROM f GROUP BY doc_id) x USING (doc_id)"""
 
-QUERIES = {"op7_line_chunks": query}
+QUERIES = {"op7_line_chunks": query, "op7_repeated_lines": query_repeated}
 SQL = {"op7_line_chunks": SQL_TEXT}

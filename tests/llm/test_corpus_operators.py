@@ -365,6 +365,49 @@ def test_line_dedup_of_odd_rows(odd, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def brute_runs(texts):
+    """Every window of lines with two that aren't blank at its ends, and what of it stands earlier."""
+    seen, out = set(), {}
+    for d, t in enumerate(texts):
+        lines, cut, new = (t or "").split("\n"), set(), []
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines)):
+                if lines[i].strip() and lines[j].strip():
+                    new.append((i, j, "\n".join(lines[i : j + 1])))
+        for i, j, run in new:
+            if run in seen:
+                cut.update(range(i, j + 1))
+            seen.add(run)
+        out[d] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in cut)
+    return out
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    rng = random.Random(17)
+    block = [prose(rng, 8) if i % 5 else "" for i in range(30)]
+    texts = []
+    for _ in range(40):
+        a = rng.randint(0, 28)
+        texts.append("\n".join([prose(rng, 6) for _ in range(rng.randint(0, 5))] + block[a : a + rng.randint(0, 6)] + [prose(rng, 6)] * rng.randint(0, 3)))
+    texts += [None, "", "one line", "one line", " \n \n ", " \n \n ", texts[2], "\n".join(block + block), "again\nagain\nagain\nagain"]
+    got = {r.doc_id: r.text for r in line_dedup.repeated_lines(docs_of(spark, texts)).collect()}
+    want = brute_runs(texts)
+    assert got == want and got[len(texts) - 1] == "again"
+    assert line_dedup.QUERIES["op7_repeated_lines"]
+    first = {x for t in texts for x in (t or "").split("\n")}
+    assert first == {x for t in got.values() for x in (t or "").split("\n")}
+
+
+def test_repeated_lines_of_odd_rows(spark, odd, nothing):
+    got = line_dedup.repeated_lines(odd.withColumn("removed_lines", F.lit("clash")))
+    assert got.columns == [*odd.columns, "removed_lines"] and got.count() == 9
+    assert {r.removed_lines for r in got.collect()} == {0}
+    rows = [(None, "a\nb\nx"), (None, "a\nb\ny"), (3, "c\na\nb"), (4, "q\nr"), (4, "q\nr\ns")]
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.removed_lines for r in got) == [0, 0, 2, 2, 2] and {r.text for r in got if r.doc_id is None} == {"x", "y"}
+    assert line_dedup.repeated_lines(nothing).count() == 0
+
+
 # 8 URL filter
 
 
