@@ -408,3 +408,25 @@ def test_stored_tables(spark, tmp_path, monkeypatch):
         store.to_artifact(df, "t")
     with pytest.raises(ValueError):
         store.from_artifact(spark, '{"mime": "x"}')
+
+
+def test_nearest_of_every_vector(spark, monkeypatch, tmp_path):
+    from tessera.plans import registry
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (300, 6)).astype(np.float32)
+    v[::9] = v[0] = 1  # ties
+    v[5] = 0
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (901, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for i, a in enumerate(v.astype(float)):
+        s = [(-round(float(a @ b) / float(np.sqrt(a @ a) * np.sqrt(b @ b)), 6), j) for j, b in enumerate(v.astype(float)) if a.any() and b.any()]
+        want |= {(i, n + 1): (j, -x) for n, (x, j) in enumerate(sorted(s)[:10])}
+    want[901, 1] = (901, 1.0)
+    for most in (search.SLAB_BYTES, 3000):
+        monkeypatch.setattr(search, "SLAB_BYTES", most)
+        got = {(r.qid, r.rank): (r.vec_id, r.score) for r in registry.QUERIES["search_vectors_all"](spark, str(tmp_path)).collect()}
+        assert got == want
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert search.nearest_join(none.selectExpr("vec_id qid", "embedding q"), none, 3).count() == 0
