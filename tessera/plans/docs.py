@@ -96,7 +96,16 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CAST(round(o_totalprice * 100) AS BIGINT) / 100 AS VARCHAR) AS price FROM (SELECT * FROM orders) WHERE round(o_totalprice * 100) % 10 <> 0")
 def normalize_date_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("round(o_totalprice * 100) % 10 <> 0")
+    return _dates_numbers(table(spark, sf_dir, "orders").where("round(o_totalprice * 100) % 10 <> 0"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, regexp_replace(CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0'), '\\.?0+$', '') AS price FROM orders""")
+def normalize_date_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, trailing zeros too; `normalize_date_number` is the part of it that its SQL covers."""
+    return _dates_numbers(table(spark, sf_dir, "orders"))
+
+
+def _dates_numbers(o: DataFrame) -> DataFrame:
     formats = [F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy")]
     text = F.element_at(F.array(*formats), (F.col("o_orderkey") % 6 + 1).cast("int"))
     money = F.concat(F.lit("$ "), F.format_number("o_totalprice", 2), F.lit("0"))

@@ -430,3 +430,14 @@ def test_nearest_of_every_vector(spark, monkeypatch, tmp_path):
         assert got == want
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert search.nearest_join(none.selectExpr("vec_id qid", "embedding q"), none, 3).count() == 0
+
+
+def test_dates_and_numbers_of_all_orders(spark, tmp_path):
+    from datetime import date
+
+    from tessera.plans import registry
+
+    prices = [1234.5, 20.0, 100.0, 1000000.0, 7.05, 0.1, 99.99, 12345.67]
+    spark.createDataFrame([(i, p, date(2020, 1, i + 1)) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: (r.day, r.price) for r in registry.QUERIES["normalize_date_number_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"2020-01-0{i + 1}", p) for i, p in enumerate(["1234.5", "20", "100", "1000000", "7.05", "0.1", "99.99", "12345.67"])}
