@@ -90,11 +90,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """What `token_hashes` needs of some bytes, for callers that hash them more than once."""
     n = len(data)
-    up, down = _PP.upto(n + 1)
+    up, _ = _PP.upto(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    return sums
+
+
+def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    sums = byte_sums(data) if sums is None else sums
+    _, down = _PP.upto(len(data) + 1)
     return mix((sums[end] - sums[start]) * down[start])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -262,6 +263,90 @@ def test_toxicity_features():
     assert f[3, at("hidden")] == pytest.approx(np.log1p(2)) and f[4, at("stretched")] == 0.5
 
 
+def test_learned_lexicons_hold_every_language(spark):
+    """Toxic words that no list has, other ones in each of three languages, one of them a stem with many endings."""
+    rng = random.Random(12)
+    stems = {"xx": ["zorbl", "quemf"], "yy": ["ñandró", "öltwik"], "zz": ["жабур", "крумп"]}
+    rows, y, lang = [], {}, {}
+    for i in range(900):
+        words = prose(rng, rng.randint(20, 60)).split()
+        lang[i], y[i] = rng.choice(list(stems)), int(rng.random() < 0.25)
+        for _ in range(3 if y[i] else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(stems[lang[i]]) + rng.choice(["", "en", "ar", "ik", "os"]))
+        rows.append((i, " ".join(words), lang[i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y[i]) for i in range(600)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(docs, model).collect()}
+    for name in stems:
+        held = [i for i in range(600, 900) if lang[i] == name]
+        assert sum(got[i] for i in held if y[i]) / sum(y[i] for i in held) > 0.9
+        assert sum(got[i] for i in held if not y[i]) / len(held) < 0.02
+
+
+def test_features_and_trees_match_a_count_by_hand(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(60):
+        words = [rng.choice([*VOCAB, "you", "idiot", "scum", "KILL", "m0r0n", "zorblen", "zorblar", "so?!", "aaargh"]) for _ in range(rng.randint(0, 30))]
+        if not any("zorbl" in w for w in words):  # else the known words are found harmless
+            words = [w for w in words if w not in ("idiot", "scum", "KILL")]
+        texts.append(" ".join(words))
+    y = np.array([int("zorbl" in t) for t in texts])
+    rows = spark.createDataFrame([(i, t, int(k)) for i, (t, k) in enumerate(zip(texts, y, strict=True))], "doc_id long, text string, toxic int")
+    counts = toxicity.learn(rows)
+    # the counts are those of sets of words and beginnings of each document
+    fold = toxicity.folds(np.arange(60))
+    held = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
+    for word in ("zorblen", "zorblar"):
+        at = np.flatnonzero(counts.key == tk.words(pa.array([word])).hash[0])
+        for f in range(toxicity.FOLDS):
+            assert counts.toxic[at, f].sum() == sum(word in h and fold[i] == f and y[i] for i, h in enumerate(held))
+    assert counts.total[0].sum() == y.sum() and counts.total[1].sum() == (1 - y).sum()
+    lexicon = counts.lexicon()
+    learned = set(lexicon.key[lexicon.kind == 5].tolist())
+
+    def starts(w):
+        return any(len(w) > n and int(tk.words(pa.array([w[:n]])).hash[0] ^ salt) in learned for n, salt in zip(toxicity.PREFIXES, toxicity._SALT, strict=True))
+
+    assert starts("zorblen") and starts("zorblar")
+    x = toxicity.features(pa.array(texts), lexicon)
+    at = toxicity.NAMES.index
+    for i, t in enumerate(texts):
+        words = re.findall(r"[a-z]+", t.lower())
+        n = max(len(words), 1)
+        assert x[i, at("insult")] == pytest.approx(sum(w == "idiot" for w in words) / n)
+        assert x[i, at("contempt")] == pytest.approx(sum(w == "scum" for w in words) / n)
+        assert x[i, at("threat")] == pytest.approx(sum(w == "kill" for w in words) / n)
+        assert x[i, at("second")] == pytest.approx(sum(w == "you" for w in words) / n)
+        assert x[i, at("learned_begins")] == pytest.approx(sum(starts(w) for w in words) / n)
+        assert x[i, at("exclaim")] == pytest.approx(t.count("!") / n) and x[i, at("question")] == pytest.approx(t.count("?") / n)
+        assert x[i, at("hidden")] == pytest.approx(np.log1p(sum(w == "m0r0n" for w in t.split())))
+        assert x[i, at("capital_words")] == pytest.approx(sum(w == "KILL" for w in t.split()) / n)
+        assert x[i, at("length")] == pytest.approx(np.log1p(len(words)))
+        near = sum(any(words[j] == "you" for j in range(max(0, k - toxicity.NEAR), min(len(words), k + toxicity.NEAR + 1))) for k, w in enumerate(words) if w in ("idiot", "scum", "kill") or starts(w) or tk.words(pa.array([w])).hash[0] in lexicon.words)
+        assert x[i, at("near_second")] == pytest.approx(np.log1p(near))
+    model = toxicity.fit_arrays(x, y.astype(float))
+
+    def score(row):
+        total = model.base
+        for feat, cut, leaf in model.trees:
+            node = 0
+            while feat[node] >= 0:
+                node = 2 * node + (2 if row[feat[node]] > cut[node] else 1)
+            total += leaf[node]
+        return total
+
+    assert model.trees and np.allclose(model.raw(x), [score(r) for r in x])
+
+
+def test_known_words_that_are_harmless_here_are_dropped(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 20) + (" vile" if i % 2 else "") + (" scum" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).lexicon()
+    vile, scum, crap = tk.words(pa.array(["vile", "scum", "crap"])).hash
+    assert vile not in lexicon.key and scum in lexicon.key and crap in lexicon.key
+
+
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(0)
     for _ in range(20):
