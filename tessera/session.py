@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,15 +47,31 @@ def texts(spark: SparkSession, sf_dir: str, name: str, least: int = 1 << 20, mos
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, one of our own only where unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, as a full URI.
+
+    Only a session whose executors are this machine's own process gets a folder of ours where the setting is missing.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "tessera-shared")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets Arrow batches end at so many bytes, so that a Python worker's memory doesn't follow the length of texts.
+
+    Spark's default is 64 MB, which a task holds several times; a smaller setting of the session is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(key, "64m")))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
 
 
 def materialize(df: DataFrame, name: str = "table", partitions: list[str] | None = None) -> DataFrame:
@@ -87,8 +104,8 @@ def _sweep() -> None:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM is already gone at exit
-            return
+        except Exception:  # noqa: BLE001, PERF203 - the JVM may be gone at exit; the next session's table may not
+            continue
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
