@@ -9,15 +9,16 @@ move_to. Taking or leaving a change is a filter on these rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from math import ceil, floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "pair_id long, block int, piece int, change string, move string, text string"
-PAIR_LIMIT = 50_000
 
 
 def _norm(s: str) -> str:
@@ -25,10 +26,11 @@ def _norm(s: str) -> str:
 
 
 def _alike(a: str, b: str, least: float) -> float:
-    """Similarity, or 0 where lengths alone keep it under the bound."""
+    """Similarity, or 0 where lengths or the letters' numbers alone keep it under the bound."""
     if not a or not b or 2 * min(len(a), len(b)) / (len(a) + len(b)) < least:
         return 0.0
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.ratio() if m.quick_ratio() >= least else 0.0
 
 
 def word_diff(a: str, b: str) -> list[tuple[str, str]]:
@@ -54,9 +56,15 @@ def compare_blocks(orig: list[str], rev: list[str], similar: float = 0.5, moved:
     come = [j for op, _, _, j1, j2 in ops if op == "insert" for j in range(j1, j2)]
     away: dict[int, str] = {}
     here: dict[int, str] = {}
-    if moves and len(gone) * len(come) <= PAIR_LIMIT:
+    if moves and gone and come:
+        by_length = sorted((len(b[j]), j) for j in come)
         for i in gone:
-            best = max(((_alike(a[i], b[j], moved), -j) for j in come if j not in here), default=(0, 0))
+            # only texts of about the same length can be so much alike; equal ones need no comparison
+            n, least = len(a[i]), moved / (2 - moved)
+            lo, hi = bisect_left(by_length, (ceil(n * least - 1e-9), -1)), bisect_right(by_length, (floor(n / least + 1e-9), len(b)))
+            near = sorted(j for _, j in by_length[lo:hi] if j not in here)
+            same = next((j for j in near if b[j] == a[i] and a[i]), None)
+            best = (1.0, -same) if same is not None else max(((_alike(a[i], b[j], moved), -j) for j in near), default=(0, 0))
             if best[0] >= moved:
                 away[i] = here[-best[1]] = f"move{len(away) + 1}"
     rows: list[tuple[int, int, str, str | None, str]] = []

@@ -109,7 +109,8 @@ def group_into_lines(boxes: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         y = ((df["top"] + df["bottom"]) / 2).to_numpy()
-        order = np.lexsort((df["ord"], df["left"], y))
+        ords, left = df["ord"].to_numpy(), df["left"].to_numpy()
+        order = np.lexsort((ords, left, y))
         lines, now, total = [], [], 0.0
         for i in order:
             if now and abs(y[i] - total / len(now)) > tolerance:
@@ -120,7 +121,7 @@ def group_into_lines(boxes: DataFrame, tolerance: float = 3.0) -> DataFrame:
         if now:
             lines.append(now)
         lines.sort(key=lambda g: y[g].mean())
-        rows = [(int(key[0]), n, p, int(df["ord"].iloc[i])) for n, g in enumerate(lines) for p, i in enumerate(sorted(g, key=lambda i: (df["left"].iloc[i], df["ord"].iloc[i])))]
+        rows = [(int(key[0]), n, p, int(ords[i])) for n, g in enumerate(lines) for p, i in enumerate(sorted(g, key=lambda i: (left[i], ords[i])))]
         return pd.DataFrame(rows, columns=["page", "line", "position", "ord"])
 
     return boxes.groupBy("page").applyInPandas(run, "page long, line int, position int, ord long")

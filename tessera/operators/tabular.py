@@ -61,7 +61,7 @@ def infer_types(cells: DataFrame, *by: str) -> DataFrame:
 
 
 def column_stats(df: DataFrame, samples: int = 5) -> DataFrame:
-    """name, type, nulls, filled, distinct values, min, max (as text; NaN apart) and samples (from the first rows) of every column.
+    """name, type, nulls, filled, distinct values, min, max (as text; NaN apart) and samples (the smallest values, as text) of every column.
 
     One pass of plain aggregates; distinct values are counted in long form, (column, value) rows that combine before
     the shuffle, instead of one copy of the table a column.
@@ -84,9 +84,12 @@ def column_stats(df: DataFrame, samples: int = 5) -> DataFrame:
     def long(t: DataFrame) -> DataFrame:
         return t.select(F.explode(F.array(*pairs)).alias("p")).select("p.i", "p.v").where("v IS NOT NULL")
 
-    distinct = long(df).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("distinct_values"))
-    shown = long(df.limit(200)).groupBy("i").agg(F.slice(F.array_sort(F.collect_set("v")), 1, samples).alias("samples"))
-    got = row.join(distinct, "i", "left").join(shown, "i", "left")
+    once = long(df).groupBy("i", "v").agg(F.lit(1).alias("k"))
+    # smallest values by repeated minima would be passes; ranks over distinct values of hash parts keep a few rows a part
+    part = once.withColumn("p", F.pmod(F.xxhash64("v"), F.lit(256)))
+    few = part.withColumn("r", F.row_number().over(Window.partitionBy("i", "p").orderBy("v"))).groupBy("i", "p").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("r") <= samples, F.col("v"))).alias("vs"))
+    got = few.groupBy("i").agg(F.sum("n").alias("distinct_values"), F.slice(F.array_sort(F.flatten(F.collect_list("vs"))), 1, samples).alias("samples"))
+    got = row.join(got, "i", "left")
     return got.select("name", "type", "nulls", "filled", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "min_value", "max_value", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+from heapq import nsmallest
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ngrams, sentences, tokens, topical
+from tessera.functions.text import sentences, tokens, topical
 
 
 def frequency(df: DataFrame, *by: str) -> DataFrame:
@@ -13,22 +18,49 @@ def frequency(df: DataFrame, *by: str) -> DataFrame:
     return df.select(*by, F.explode(tokens(F.col("text"))).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ngram_counts(blocks: DataFrame, longest: int = 3) -> DataFrame:
-    """doc_id, ngram, n over 1 to `longest` topical tokens; stopwords go before windows are cut, and no window spans two blocks."""
-    kept = blocks.select("doc_id", topical(tokens(F.col("text"))).alias("ts"))
-    grams = F.concat(*[ngrams(F.col("ts"), n) for n in range(1, longest + 1)])
-    return kept.select("doc_id", F.explode(grams).alias("ngram")).groupBy("doc_id", "ngram").agg(F.count(F.lit(1)).alias("n"))
+_RANKED = "doc_id long, side string, rank int, ngram string, n long"
+
+
+def ranked_ngrams(docs: DataFrame, k: int = 20, least: int = 2, longest: int = 3) -> DataFrame:
+    """doc_id, side (top or bottom), rank, ngram, n of documents (doc_id, blocks: array of texts), one row a document.
+
+    N-grams of 1 to `longest` topical tokens; stopwords go before windows are cut, and no window spans two blocks. Top: the
+    most frequent; bottom: the rarest that recur `least` times; ties in the order of the n-gram. A document's n-grams
+    never leave its task: nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for doc, blocks in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns), strict=True):
+                    counts: Counter = Counter()
+                    for ts in filter(None, blocks or ()):
+                        counts.update(ts)
+                        for n in range(2, longest + 1):
+                            counts.update(map(" ".join, zip(*(ts[i:] for i in range(n)), strict=False)))
+                    for side, found in (("top", nsmallest(k, ((-n, g) for g, n in counts.items()))), ("bottom", nsmallest(k, ((n, g) for g, n in counts.items() if n >= least)))):
+                        out.extend((doc, side, i, g, abs(n)) for i, (n, g) in enumerate(found, 1))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "side", "rank", "ngram", "n"])
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform("blocks", lambda t: topical(tokens(t))).alias("ts"))
+    return kept.mapInArrow(run, _RANKED)
+
+
+def whole(blocks: DataFrame) -> DataFrame:
+    """doc_id, blocks of a block table: one shuffle of the texts by document."""
+    return blocks.groupBy("doc_id").agg(F.collect_list("text").alias("blocks"))
 
 
-def top_ngrams(counts: DataFrame, k: int = 20) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "ngram")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_ngrams(docs: DataFrame, k: int = 20) -> DataFrame:
+    return ranked_ngrams(docs, k).where("side = 'top'").select("doc_id", "ngram", "n", "rank")
 
 
-def bottom_ngrams(counts: DataFrame, k: int = 20, least: int = 2) -> DataFrame:
+def bottom_ngrams(docs: DataFrame, k: int = 20, least: int = 2) -> DataFrame:
     """The rarest n-grams that recur."""
-    w = Window.partitionBy("doc_id").orderBy("n", "ngram")
-    return counts.where(F.col("n") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked_ngrams(docs, k, least).where("side = 'bottom'").select("doc_id", "ngram", "n", "rank")
 
 
 def head(text: object, most: int = 500) -> object:
@@ -52,8 +84,9 @@ def summarize(blocks: DataFrame, k: int = 20, head_tokens: int = 500) -> DataFra
 
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("body_index", "text"))), lambda x: x["text"]), "\n\n")
     text = blocks.groupBy("doc_id").agg(head(ordered, head_tokens).alias("head"), F.sum(F.when(F.col("node_type") == "paragraph", F.length("text"))).alias("chars"), F.count_if((F.col("node_type") == "paragraph") & (F.trim("text") != "")).alias("paragraphs"))
-    counts = ngram_counts(blocks)
-    pack = lambda df, name: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ngram", "n"))), lambda x: F.struct(x["ngram"].alias("ngram"), x["n"].alias("n"))).alias(name))
+    rows = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("rank", "ngram", "n")))
+    plain = lambda side: F.transform(F.array_sort(rows(side)), lambda x: F.struct(x["ngram"].alias("ngram"), x["n"].alias("n")))
+    grams = ranked_ngrams(whole(blocks), k).groupBy("doc_id").agg(plain("top").alias("top_ngrams"), plain("bottom").alias("bottom_ngrams"))
     s = blocks.where("node_type = 'paragraph'").select("doc_id", F.explode(sentences("text")).alias("s")).select("doc_id", F.col("s.text").alias("t"))
     per = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), *[F.count_if(count_expr(F.col("t"), e) > 0).alias(f"{e}_sentences") for e in TYPES])
-    return text.join(pack(top_ngrams(counts, k), "top_ngrams"), "doc_id", "left").join(pack(bottom_ngrams(counts, k), "bottom_ngrams"), "doc_id", "left").join(per, "doc_id", "left")
+    return text.join(grams, "doc_id", "left").join(per, "doc_id", "left")

@@ -24,7 +24,8 @@ def _past():  # noqa: ANN202
 
 
 def _ahead():  # noqa: ANN202
-    return _frame(1, Window.unboundedFollowing)
+    """All blocks after this one: a growing frame over the reverse order, which Spark keeps up row by row."""
+    return Window.partitionBy("doc_id").orderBy(F.desc("body_index")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def pages(blocks: DataFrame) -> DataFrame:
@@ -69,9 +70,12 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 def section_pages(blocks: DataFrame) -> DataFrame:
     """First and last page of every section, its subsections included."""
-    s, b = sections(blocks), pages(blocks).select("doc_id", "body_index", "page")
-    within = (s["doc_id"] == b["doc_id"]) & (b["body_index"] >= s["start"]) & (b["body_index"] < s["end"])
-    return s.join(b, within).groupBy(s["doc_id"], s["start"], s["depth"]).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    # a block is in the sections of the headings above it, six at most: no range join
+    got = heading_stack(pages(blocks)).withColumn("first", F.min("body_index").over(Window.partitionBy("doc_id")))
+    above = [F.when(F.col(f"h{d}").isNotNull(), F.struct(F.col(f"h{d}").alias("start"), F.lit(d).alias("depth"))) for d in range(1, 7)]
+    pre = F.when(F.coalesce(*[F.col(f"h{d}") for d in range(1, 7)]).isNull(), F.struct(F.col("first").alias("start"), F.lit(0).alias("depth")))
+    held = got.select("doc_id", "page", F.explode(F.array(pre, *above)).alias("s")).where("s IS NOT NULL")
+    return held.groupBy("doc_id", "s.start", "s.depth").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
 
 
 def heading_path(blocks: DataFrame, inclusive: bool = True) -> DataFrame:
@@ -111,8 +115,9 @@ def context_window(blocks: DataFrame, targets: DataFrame, before: int, after: in
         s = sections(blocks).where("depth > 0").select(F.col("doc_id").alias("d"), "start", "direct_end")
         t = t.join(s, (t["doc_id"] == s["d"]) & (t["target"] >= s["start"]) & (t["target"] < s["direct_end"]), "left")
         t = t.select("doc_id", "target", F.greatest("lo", "start").alias("lo"), F.least("hi", F.col("direct_end") - 1).alias("hi"))
-    b = blocks.select(F.col("doc_id").alias("d"), "body_index", "text")
-    return t.join(b, (t["doc_id"] == b["d"]) & (b["body_index"] >= t["lo"]) & (b["body_index"] <= t["hi"])).select("doc_id", "target", "body_index", (F.col("body_index") - F.greatest("lo", F.lit(0))).alias("position"), "text")
+    # the places of a window are listed, so that the join is one of equal keys
+    places = t.withColumn("lo", F.greatest("lo", F.lit(0))).where("lo <= hi").select("doc_id", "target", "lo", F.explode(F.sequence("lo", "hi")).alias("body_index"))
+    return places.join(blocks.select("doc_id", "body_index", "text"), ["doc_id", "body_index"]).select("doc_id", "target", "body_index", (F.col("body_index") - F.col("lo")).alias("position"), "text")
 
 
 def outline(blocks: DataFrame) -> DataFrame:

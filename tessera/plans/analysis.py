@@ -99,10 +99,10 @@ def dedup_semantic_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.semantic(_vectors(spark, sf_dir), 0.6).select("canonical", "member", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey a, c_custkey + 7 * (c_nationkey + 1) b FROM customer WHERE c_acctbal > 6000), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey a, c_custkey + 1000000 + 7 * (c_nationkey + 1) b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "customer").where("c_acctbal > 6000").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 7 * (F.col("c_nationkey") + 1)).alias("dst"))
+    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1000000 + 7 * (F.col("c_nationkey") + 1)).alias("dst"))
     return connected_components(e)
 
 

@@ -27,11 +27,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 _MARKS = "SELECT event_id AS ann_id, user_id AS doc_id, '#/body/' || (event_id % 3) AS node_ref, CASE WHEN event_id % 5 > 0 THEN event_id % 40 END AS s, CASE WHEN event_id % 5 > 0 THEN event_id % 40 + 8 END AS e FROM events"
 
 
-@query(f"SELECT m.ann_id, m.doc_id, o.x AS \"offset\" FROM ({_MARKS}) m, (VALUES (5), (20)) o(x) WHERE m.node_ref = '#/body/1' AND coalesce(m.s, 0) <= o.x AND (m.e IS NULL OR o.x < m.e)")
+@query(f"SELECT m.ann_id, m.doc_id, o.x AS \"offset\" FROM ({_MARKS}) m, (VALUES (5), (20), (33)) o(x) WHERE coalesce(m.s, 0) <= o.x AND (m.e IS NULL OR o.x < m.e)")
 def annotation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 40
     marks = table(spark, sf_dir, "events").select(F.col("event_id").alias("ann_id"), F.col("user_id").alias("doc_id"), F.concat(F.lit("#/body/"), F.col("event_id") % 3).alias("node_ref"), F.when(F.col("event_id") % 5 > 0, k).alias("start"), F.when(F.col("event_id") % 5 > 0, k + 8).alias("end"))
-    points = marks.select("doc_id").distinct().select("doc_id", F.lit("#/body/1").alias("node_ref"), F.explode(F.array(F.lit(5), F.lit(20))).alias("offset"))
+    points = marks.select("doc_id", "node_ref").distinct().select("doc_id", "node_ref", F.explode(F.array(F.lit(5), F.lit(20), F.lit(33))).alias("offset"))
     return nodes.annotations_at(marks, points).select("ann_id", "doc_id", "offset")
 
 

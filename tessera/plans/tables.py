@@ -23,14 +23,18 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query("""SELECT 'o_orderkey' AS name, 'INTEGER' AS type, count(*) - count(o_orderkey) AS nulls, count(o_orderkey) AS filled, count(DISTINCT o_orderkey) AS distinct_values, CAST(min(o_orderkey) AS VARCHAR) AS min_value, CAST(max(o_orderkey) AS VARCHAR) AS max_value FROM orders
-UNION ALL SELECT 'o_custkey', 'INTEGER', count(*) - count(o_custkey), count(o_custkey), count(DISTINCT o_custkey), CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders
-UNION ALL SELECT 'o_orderstatus', 'TEXT', count(*) - count(o_orderstatus), count(o_orderstatus), count(DISTINCT o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders
-UNION ALL SELECT 'o_totalprice', 'FLOAT', count(*) - count(o_totalprice), count(o_totalprice), count(DISTINCT o_totalprice), CAST(min(o_totalprice) AS VARCHAR), CAST(max(o_totalprice) AS VARCHAR) FROM orders
-UNION ALL SELECT 'o_orderdate', 'DATETIME', count(*) - count(o_orderdate), count(o_orderdate), count(DISTINCT o_orderdate), CAST(min(o_orderdate) AS VARCHAR), CAST(max(o_orderdate) AS VARCHAR) FROM orders
-UNION ALL SELECT 'o_orderpriority', 'TEXT', count(*) - count(o_orderpriority), count(o_orderpriority), count(DISTINCT o_orderpriority), min(o_orderpriority), max(o_orderpriority) FROM orders""")
+def _stats_sql(name: str, kind: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"""SELECT '{name}' AS name, '{kind}' AS type, count(*) - count({name}) AS nulls, count({name}) AS filled, count(DISTINCT {name}) AS distinct_values, CAST(min({name}) AS VARCHAR) AS min_value,
+CAST(max({name}) AS VARCHAR) AS max_value, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {text} v FROM orders ORDER BY v LIMIT 5)) AS samples FROM orders"""
+
+
+_ORDERS = {"o_orderkey": "INTEGER", "o_custkey": "INTEGER", "o_orderstatus": "TEXT", "o_totalprice": "FLOAT", "o_orderdate": "DATETIME", "o_orderpriority": "TEXT"}
+
+
+@query(" UNION ALL ".join(_stats_sql(n, k) for n, k in _ORDERS.items()))
 def table_column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.column_stats(table(spark, sf_dir, "orders")).drop("samples")
+    return B.column_stats(table(spark, sf_dir, "orders")).withColumn("samples", F.array_join("samples", "|"))
 
 
 @query("""SELECT 'c_custkey' AS name, count(c_custkey) AS filled, count(DISTINCT c_custkey) AS distinct_values FROM customer UNION ALL SELECT 'c_name', count(c_name), count(DISTINCT c_name) FROM customer

@@ -34,16 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, least: int = 1 << 20, most: int = 64 << 20) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for work per row that costs far more than reading it.
 
-    A file of a few megabytes is one row group and so one task, whatever the number of cores; such a table is dealt out
-    to all of them. Beyond `most` bytes the scan's own splits do, and nothing is moved.
+    Rows stay where the scan's splits put them. A caller whose table is one row group, which is one task whatever the
+    number of cores, may set `tessera.deal` to a number of partitions to deal it out to; it moves the table once.
     """
-    df = table(spark, sf_dir, name)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism) if least <= size < most else df
+    df, parts = table(spark, sf_dir, name), int(spark.conf.get("tessera.deal", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def shared_dir(spark: SparkSession) -> str:

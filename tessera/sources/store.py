@@ -27,8 +27,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_artifact(df: DataFrame, name: str) -> str:
-    """A small table as one JSON text with its schema; too large a one is refused, not cut."""
-    body = {"mime": "application/vnd.tessera.table+json", "name": name, "schema": json.loads(df.schema.json()), "rows": [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]}
+    """A small table as one JSON text with its schema; too large a one is refused, not cut, and before any row is brought here."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("j")), F.lit(0))).first()[0]
+    if size > CAP:
+        raise ValueError(f"artefact of over {size} bytes; at most {CAP}")
+    body = {"mime": "application/vnd.tessera.table+json", "name": name, "schema": json.loads(df.schema.json()), "rows": [json.loads(r[0]) for r in rows.toLocalIterator()]}
     text = json.dumps(body, ensure_ascii=False)
     if len(text.encode()) > CAP:
         raise ValueError(f"artefact of {len(text.encode())} bytes; at most {CAP}")

@@ -212,7 +212,11 @@ def test_sections_and_pages(spark):
 
 def test_ngrams_and_head(spark):
     b = blocks(spark, [(0, None)]).withColumn("text", F.lit("The cap on the cap"))
-    assert {r.ngram: r.n for r in tokens.ngram_counts(b).collect()} == {"cap": 2, "cap cap": 1}
+    assert {r.ngram: r.n for r in tokens.top_ngrams(tokens.whole(b)).collect()} == {"cap": 2, "cap cap": 1}
+    assert [(r.ngram, r.n, r.rank) for r in tokens.bottom_ngrams(tokens.whole(b)).collect()] == [("cap", 2, 1)]
+    # no window spans two blocks
+    two = tokens.top_ngrams(spark.createDataFrame([(1, ["red fox", "fox red", None]), (2, None)], "doc_id long, blocks array<string>"))
+    assert [(r.ngram, r.n) for r in two.orderBy("rank").collect()] == [("fox", 2), ("red", 2), ("fox red", 1), ("red fox", 1)]
     assert column(values(spark, ["One, two three. Four"]), tokens.head("v", 2)) == ["One, two"]
 
 
@@ -439,5 +443,65 @@ def test_dates_and_numbers_of_all_orders(spark, tmp_path):
 
     prices = [1234.5, 20.0, 100.0, 1000000.0, 7.05, 0.1, 99.99, 12345.67]
     spark.createDataFrame([(i, p, date(2020, 1, i + 1)) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r.o_orderkey: (r.day, r.price) for r in registry.QUERIES["normalize_date_number_all"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: (r.day, r.price) for r in registry.QUERIES["normalize_date_number"](spark, str(tmp_path)).collect()}
     assert got == {i: (f"2020-01-0{i + 1}", p) for i, p in enumerate(["1234.5", "20", "100", "1000000", "7.05", "0.1", "99.99", "12345.67"])}
+
+
+def test_average_linkage_is_the_greedy_one():
+    import numpy as np
+
+    from tessera.operators.dedup import average_linkage
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        x = rng.normal(size=(rng.integers(1, 25), 5))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        most = float(rng.uniform(0.1, 1.0))
+        groups = [[i] for i in range(len(x))]
+        far = lambda g, h: np.mean([1 - x[i] @ x[j] for i in g for j in h])
+        while len(groups) > 1:
+            d, a, b = min((far(g, h), a, b) for a, g in enumerate(groups) for b, h in enumerate(groups) if a < b)
+            if d > most:
+                break
+            groups[a] += groups.pop(b)
+        label = average_linkage(x, most)
+        assert sorted(sorted(g) for g in groups) == sorted(sorted(np.flatnonzero(np.array(label) == k).tolist()) for k in set(label))
+
+
+def test_moves_among_many_blocks():
+    """300 x 300 blocks that changed sides: every one is a move, none is given up for their number."""
+    from tessera.operators.diff import compare_blocks
+
+    words = [f"clause {i} about the matter number {i * 7919 % 1009} in full" for i in range(300)]
+    rows = compare_blocks(words[:1] + words[1:], [f"new text {i} without anything alike at all {i}" * 3 for i in range(3)] + words[150:] + words[:150])
+    assert sum(c == "move_from" for _, _, c, _, _ in rows) == sum(c == "move_to" for _, _, c, _, _ in rows) == 150
+    from difflib import SequenceMatcher
+
+    a, b = ["alpha beta gamma delta", "one two three", ""], ["zzz", "one two threes", "alpha beta gamma deltas", ""]
+    got = {m: t for _, _, c, m, t in compare_blocks(["keep me", *a], [*b, "keep me"]) if c == "move_from"}
+    assert all(max(SequenceMatcher(None, t, y).ratio() for y in b) >= 0.8 for t in got.values()) and len(got) == 2
+
+
+def test_bands_find_pairs_at_any_threshold():
+    from tessera.operators.dedup import PERMS, bands_for
+
+    for percent in (30, 50, 70, 80, 95):
+        bands, rows = bands_for(percent)
+        assert bands * rows <= PERMS and 1 - (1 - (percent / 100) ** rows) ** bands >= 0.99
+
+
+def test_cosine_pairs_over_slabs(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import search
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(70, None), (None, x[0].tolist()), (71, [0.0] * 6), (72, [1.0, 2.0])]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.5}
+    for most in (search.SLAB_BYTES, 500):
+        monkeypatch.setattr(search, "SLAB_BYTES", most)
+        got = search.cosine_pairs(spark.createDataFrame(rows, "id long, v array<double>"), 0.5).collect()
+        assert {(r.a, r.b) for r in got} == want and all(abs(r.score - s[r.a, r.b]) < 1e-9 for r in got) and len(got) == len(want)
