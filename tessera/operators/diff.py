@@ -160,3 +160,49 @@ def between(revisions: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def summary(revisions: DataFrame) -> DataFrame:
     return revisions.where("change <> 'keep'").groupBy("author").pivot("change", ["ins", "del", "move_from", "move_to"]).count().na.fill(0)
+
+
+def by_type(revisions: DataFrame, change: str) -> DataFrame:
+    return revisions.where(F.col("change") == change)
+
+
+def sorted_by_date(revisions: DataFrame) -> DataFrame:
+    """Changes by date, undated ones last, then by id."""
+    return revisions.where("change <> 'keep'").orderBy(F.col("date").asc_nulls_last(), "event_id")
+
+
+# Authoring: tracked changes as rows of (pair_id, block, piece, change, move, text, author, date).
+AUTHORED = SCHEMA + ", author string, date timestamp_ntz"
+
+
+def _row(pair: Column, block: Column, change: str, text: Column, author: str, date: Column | None, move: str | None = None) -> list[Column]:
+    when = (F.lit(None) if date is None else date).cast("timestamp_ntz")
+    values = {"pair_id": pair, "block": block.cast("int"), "piece": F.lit(0), "change": F.lit(change), "move": F.lit(move).cast("string"), "text": text, "author": F.lit(author), "date": when}
+    return [c.alias(k) for k, c in values.items()]
+
+
+def authored(blocks: DataFrame) -> DataFrame:
+    """A document (pair_id, block, text) as untracked pieces, to put changes on."""
+    return blocks.select(*_row(F.col("pair_id"), F.col("block"), "keep", F.col("text"), None, None))
+
+
+def append_block(pieces: DataFrame, text: str, author: str, date: Column | None = None) -> DataFrame:
+    """A tracked insertion after the last block of every document."""
+    last = pieces.groupBy("pair_id").agg(F.max("block").alias("b"))
+    return pieces.unionByName(last.select(*_row(F.col("pair_id"), F.col("b") + 1, "ins", F.lit(text), author, date)))
+
+
+def insert_after(pieces: DataFrame, at: int, text: str, author: str, date: Column | None = None) -> DataFrame:
+    """A tracked insertion after block `at` of every document that has it; later blocks move down by one."""
+    has = pieces.where(F.col("block") == at).select("pair_id").distinct()
+    down = pieces.join(has.withColumn("has", F.lit(True)), "pair_id", "left").withColumn("block", F.when(F.col("has") & (F.col("block") > at), F.col("block") + 1).otherwise(F.col("block"))).drop("has")
+    return down.unionByName(has.select(*_row(F.col("pair_id"), F.lit(at + 1), "ins", F.lit(text), author, date)))
+
+
+def delete_at(pieces: DataFrame, at: int, author: str, date: Column | None = None) -> DataFrame:
+    """A tracked deletion of block `at`: kept pieces become deletions, insertions that nobody took vanish."""
+    here = F.col("block") == at
+    when = (F.lit(None) if date is None else date).cast("timestamp_ntz")
+    mine = here & (F.col("change") == "keep")
+    left = pieces.where(~(here & (F.col("change") == "ins")))
+    return left.withColumns({"author": F.when(mine, F.lit(author)).otherwise(F.col("author")), "date": F.when(mine, when).otherwise(F.col("date")), "change": F.when(mine, "del").otherwise(F.col("change"))})

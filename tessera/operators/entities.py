@@ -51,6 +51,14 @@ def salience(text: Column, distinct: Column, position: Column, total: Column, af
     return F.when(distinct <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * count + 0.2 * place + 0.2 * band)))
 
 
+def ranked(found: DataFrame, by: str = "salience", k: int = 10) -> DataFrame:
+    """The first k filtered units: by salience, then in the order of the corpus, or by position alone."""
+    if by not in ("salience", "position"):
+        raise ValueError(f"unknown order {by}: salience or position")
+    order = [F.desc("salience")] if by == "salience" else []
+    return found.orderBy(*order, "doc_id", "n").limit(k)
+
+
 def filter_units(units: DataFrame, kind: str) -> DataFrame:
     """Units (doc_id, n, total, after_heading, text) that hold the type, with values and salience."""
     v = F.array_distinct(values_expr(F.col("text"), kind))

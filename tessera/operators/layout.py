@@ -104,8 +104,11 @@ def find_valleys(profile: DataFrame, threshold: float = 0.0, least: int = 1) ->
     return v.select("page", "start", "end", "width", F.floor((F.col("start") + F.col("end")) / 2).alias("center"), F.row_number().over(Window.partitionBy("page").orderBy(F.desc("width"), "start")).alias("rank"))
 
 
-def group_into_lines(boxes: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """page, line, position, ord: boxes in order of their middle join the line whose running mean is near enough."""
+_EDGES = ("left", "top", "right", "bottom")
+
+
+def group_into_lines(boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """page, line, position, ord and edges: boxes in order of their middle join the line whose running mean is near enough."""
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         y = ((df["top"] + df["bottom"]) / 2).to_numpy()
@@ -121,10 +124,11 @@ def group_into_lines(boxes: DataFrame, tolerance: float = 3.0) -> DataFrame:
         if now:
             lines.append(now)
         lines.sort(key=lambda g: y[g].mean())
-        rows = [(int(key[0]), n, p, int(ords[i])) for n, g in enumerate(lines) for p, i in enumerate(sorted(g, key=lambda i: (left[i], ords[i])))]
-        return pd.DataFrame(rows, columns=["page", "line", "position", "ord"])
+        rows = [(n, p, i) for n, g in enumerate(lines) for p, i in enumerate(sorted(g, key=lambda i: (left[i], ords[i])))]
+        n, p, i = np.array(rows, np.int64).reshape(-1, 3).T
+        return df.iloc[i][["page", "ord", *_EDGES]].assign(line=n, position=p)[["page", "line", "position", "ord", *_EDGES]]
 
-    return boxes.groupBy("page").applyInPandas(run, "page long, line int, position int, ord long")
+    return boxes.groupBy("page").applyInPandas(run, "page long, line int, position int, ord long, left double, top double, right double, bottom double")
 
 
 def xy_cut(boxes: DataFrame, min_gap_x: float = 10.0, min_gap_y: float = 5.0) -> DataFrame:
@@ -156,41 +160,111 @@ def xy_cut(boxes: DataFrame, min_gap_x: float = 10.0, min_gap_y: float = 5.0) ->
 
 
 def headers_footers(boxes: DataFrame, share: float = 0.5, margin: float = 0.1) -> DataFrame:
-    """Texts (digits blurred) near the top or bottom edge on at least max(2, share of the pages) pages."""
+    """page, ord, zone of the boxes whose text, folded, stands in the top or bottom zone of at least max(2, share of the pages) pages."""
     edge = boxes.groupBy("page").agg(F.min("top").alias("lo"), F.max("bottom").alias("hi"))
     n = edge.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * share)).alias("least"))
-    span = F.col("hi") - F.col("lo")
-    zone = F.when(F.col("bottom") <= F.col("lo") + span * margin, "header").when(F.col("top") >= F.col("hi") - span * margin, "footer")
-    got = boxes.join(edge, "page").withColumn("zone", zone).where("zone IS NOT NULL").withColumn("key", F.regexp_replace(F.trim(F.lower("text")), r"\d+", "#"))
-    return got.groupBy("zone", "key").agg(F.count_distinct("page").alias("pages")).crossJoin(n).where(F.col("pages") >= F.col("least")).select("zone", "key", "pages")
+    span, y = F.col("hi") - F.col("lo"), (F.col("top") + F.col("bottom")) / 2
+    zone = F.when(span <= 0, None).when(y < F.col("lo") + span * margin, "header").when(y > F.col("hi") - span * margin, "footer")
+    got = boxes.join(edge, "page").select("page", "ord", zone.alias("zone"), F.lower(F.trim("text")).alias("key")).where("zone IS NOT NULL AND key <> ''")
+    often = got.groupBy("zone", "key").agg(F.count_distinct("page").alias("pages")).crossJoin(n).where(F.col("pages") >= F.col("least")).select("zone", "key")
+    return got.join(often, ["zone", "key"]).select("page", "ord", "zone")
+
+
+def detect_columns(boxes: DataFrame, least: float = 10.0, resolution: float = 1.0, ratio: float = 0.1) -> DataFrame:
+    """page, n, left, right of the columns between gutters: strips of at least `least` units under `ratio` of the page's peak."""
+    profile = projection_profile(boxes, "x", resolution)
+    low = profile.join(profile.groupBy("page").agg((F.max("weight") * ratio).alias("most")), "page").where(F.col("weight") <= F.col("most"))
+    k = F.col("bin") - F.row_number().over(Window.partitionBy("page").orderBy("bin"))
+    gutters = low.withColumn("k", k).groupBy("page", "k").agg(F.min("bin").alias("s"), (F.max("bin") + 1).alias("e")).where(F.col("e") - F.col("s") >= max(1, int(least / resolution)))
+    edge = boxes.groupBy("page").agg(F.min("left").alias("lo"), F.max("right").alias("hi"))
+    cuts = gutters.join(edge, "page").select("page", (F.col("lo") + F.col("s") * resolution).alias("until"), (F.col("lo") + F.col("e") * resolution).alias("since"))
+    ends = cuts.select("page", F.col("until").alias("x"), F.col("since").alias("next")).unionByName(edge.select("page", F.col("hi").alias("x"), F.lit(None).cast("double").alias("next")))
+    w = Window.partitionBy("page").orderBy(F.col("next").asc_nulls_last())
+    spans = ends.join(edge.select("page", "lo"), "page").select("page", F.coalesce(F.lag("next").over(w), F.col("lo")).alias("left"), F.col("x").alias("right")).where(F.col("right") > F.col("left"))
+    return spans.select("page", F.row_number().over(Window.partitionBy("page").orderBy("left")).alias("n"), "left", "right")
+
+
+def natural_breaks(x: np.ndarray, times: np.ndarray, k: int) -> np.ndarray:
+    """Class of each of the sorted distinct values (held so many times): k classes of least squared deviation."""
+    m, k = len(x), min(k, len(x))
+    n, s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (times, times * x, times * x * x))
+    cost = np.full((m + 1, m + 1), np.inf)
+    for b in range(m):
+        e = np.arange(b + 1, m + 1)
+        cost[b, e] = q[e] - q[b] - (s[e] - s[b]) ** 2 / (n[e] - n[b])
+    best, cuts = cost[0], []
+    for _ in range(1, k):
+        both = best[:, None] + cost
+        cuts.append(both.argmin(axis=0))
+        best = both.min(axis=0)
+    out, e = np.zeros(m, int), m
+    for c in range(k - 1, 0, -1):
+        b = int(cuts[c - 1][e])
+        out[b:e] = c
+        e = b
+    return out
 
 
-def detect_columns(boxes: DataFrame, least: int = 10) -> DataFrame:
-    """Gutters of a page: empty vertical strips of at least so many units inside the text."""
-    v = find_valleys(projection_profile(boxes, "x"), 0.0, least)
-    return v.groupBy("page").agg((F.count(F.lit(1)) + 1).alias("columns"), F.array_sort(F.collect_list("center")).alias("gutters"))
+_CLASSES = {1: ("body",), 2: ("body", "heading"), 3: ("footnote", "body", "heading"), 4: ("footnote", "body", "subheading", "heading")}
 
 
-def classify_font_sizes(boxes: DataFrame) -> DataFrame:
-    """Body is the size with most characters; larger sizes are headings, the largest of depth 1; smaller ones are notes."""
-    size = boxes.groupBy(F.round("font_size", 1).alias("size")).agg(F.sum(F.length("text")).alias("chars"))
-    body = size.agg(F.max_by("size", F.struct("chars", (-F.col("size")).alias("s"))).alias("body"))
-    got = size.crossJoin(body)
-    depth = F.dense_rank().over(Window.partitionBy(F.col("size") > F.col("body")).orderBy(F.desc("size")))
-    return got.select("size", "chars", F.when(F.col("size") == F.col("body"), "body").when(F.col("size") > F.col("body"), "heading").otherwise("note").alias("role"), F.when(F.col("size") > F.col("body"), F.least(depth, F.lit(6))).alias("depth"))
+def classify_font_sizes(boxes: DataFrame, *by: str, k: int = 0, tolerance: float = 0.5) -> DataFrame:
+    """by, size, blocks, role of every font size: k natural breaks (0: as many as sizes are apart by more than the tolerance, 4 at most).
 
+    Two classes are split where Otsu's threshold is, which is the same bound; sizes that aren't positive are body.
+    """
+    size = boxes.groupBy(*by, F.col("font_size").cast("double").alias("size")).agg(F.count(F.lit(1)).alias("blocks"))
+    names = [*by, "size", "blocks", "role"]
 
-def paragraph_breaks(lines: DataFrame) -> DataFrame:
-    """Lines (page, line, top, bottom) that open a paragraph: the gap before is over Otsu's threshold of the page, where gaps really differ (1.3 times the median)."""
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("size")
+        known = df[df["size"] > 0]
+        x = known["size"].to_numpy()
+        apart = 1 + int((np.diff(x) > tolerance).sum()) if len(x) else 0
+        classes = (k or min(apart, 4)) if apart >= 2 else 1
+        label = natural_breaks(x, known["blocks"].to_numpy().astype(float), classes) if len(x) else np.zeros(0, int)
+        roles = _CLASSES.get(classes) or tuple(f"class_{i}" for i in range(classes))
+        out = df.assign(role="body")
+        out.loc[known.index, "role"] = [roles[i] for i in label]
+        return out[names]
+
+    kinds = {f.name: f.dataType.simpleString() for f in size.schema.fields}
+    return size.groupBy(*by).applyInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in (*by, "size", "blocks")]) + ", role string")
+
+
+def paragraph_breaks(lines: DataFrame, method: str = "otsu", relative: float = 1.5) -> DataFrame:
+    """page, line, breaks for lines (page, line, top, bottom): whether a line opens a paragraph, by the gap before it.
+
+    otsu: the gap reaches the page's threshold, unless over 0.8 of the gaps do; relative: it reaches so many medians; jenks: it
+    is in the upper of two natural classes. No page has breaks whose largest gap isn't positive or under 1.3 medians.
+    """
+    if method not in ("otsu", "relative", "jenks"):
+        raise ValueError(f"unknown method {method}")
     w = Window.partitionBy("page").orderBy("top", "line")
-    g = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(w))
-    cut = otsu(g.where("gap IS NOT NULL").select("page", F.col("gap").cast("double").alias("x")), "page").select("page", "threshold")
-    mid = g.groupBy("page").agg(F.percentile("gap", F.lit(0.5)).alias("median"), F.max("gap").alias("top_gap"))
-    return g.join(cut, "page", "left").join(mid, "page").select("page", "line", F.coalesce((F.col("gap") > F.col("threshold")) & (F.col("top_gap") >= 1.3 * F.col("median")), F.lit(False)).alias("breaks"))
-
-
-def table_regions(lines: DataFrame, least_rows: int = 3, least_cells: int = 3) -> DataFrame:
-    """Runs of neighbouring lines (page, line, cells) with enough cells."""
-    w = Window.partitionBy("page").orderBy("line")
-    wide = lines.where(F.col("cells") >= least_cells).withColumn("k", F.col("line") - F.row_number().over(w))
-    return wide.groupBy("page", "k").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least_rows).drop("k")
+    g = lines.withColumn("gap", (F.col("top") - F.lag("bottom").over(w)).cast("double"))
+    known = g.where("gap IS NOT NULL")
+    cut = otsu(known.select("page", F.col("gap").alias("x")), "page").select("page", "threshold", "above")
+    ordered = F.array_sort(F.collect_list("gap"))
+    mid = known.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("widest"), F.element_at(ordered, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median"))
+    differ = (F.col("widest") > 0) & ~((F.col("median") > 0) & (F.col("widest") / F.col("median") < 1.3))
+    over = {
+        "otsu": (F.col("gap") >= F.col("threshold")) & (F.col("above") <= 0.8 * F.col("n")),
+        "relative": F.col("gap") >= F.col("median") * relative,
+        "jenks": F.col("gap") > F.col("threshold"),
+    }[method]
+    return g.join(mid, "page", "left").join(cut, "page", "left").select("page", "line", F.coalesce(differ & over, F.lit(False)).alias("breaks"))
+
+
+def table_regions(placed: DataFrame, least_cols: int = 2, least_rows: int = 2, tolerance: float = 3.0) -> DataFrame:
+    """page, left, top, right, bottom of runs of lines whose boxes stand at enough common left edges.
+
+    placed: boxes with their line. Left edges of a page are clustered; a column is a cluster that so many lines have, and a box
+    belongs to it within the tolerance of the cluster's mean.
+    """
+    got = cluster_1d(placed.select("page", "line", F.col("ord").alias("id"), F.col("left").cast("double").alias("x")), tolerance, "page")
+    columns = got.groupBy("page", "g").agg(F.avg("x").alias("at"), F.count_distinct("line").alias("rows")).where(F.col("rows") >= least_rows)
+    held = got.join(columns, ["page", "g"]).where(F.abs(F.col("x") - F.col("at")) <= tolerance).groupBy("page", "line").agg(F.count_distinct("g").alias("columns"))
+    wide = held.where(F.col("columns") >= least_cols).withColumn("k", F.col("line") - F.row_number().over(Window.partitionBy("page").orderBy("line")))
+    box = placed.groupBy("page", "line").agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
+    runs = wide.join(box, ["page", "line"]).groupBy("page", "k").agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).alias("rows"))
+    return runs.where(F.col("rows") >= least_rows).select("page", "left", "top", "right", "bottom")

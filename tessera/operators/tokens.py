@@ -78,6 +78,20 @@ def stats(blocks: DataFrame) -> DataFrame:
     )
 
 
+def summarize_missing(blocks: DataFrame, known: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(summaries of the documents that `known` (doc_id, summarised) has none of, counts: built, skipped, failed, total).
+
+    A document of `known` without blocks has nothing to build from and counts as failed.
+    """
+    wanted = known.select("doc_id", (F.coalesce("summarised", F.lit(False)) & F.lit(not force)).alias("skip"))
+    todo = wanted.where("NOT skip").select("doc_id")
+    built = summarize(blocks.join(todo, "doc_id", "left_semi"))
+    there = wanted.join(blocks.select("doc_id").distinct().withColumn("has", F.lit(True)), "doc_id", "left")
+    count = lambda c: F.count_if(c)
+    counts = there.agg(count(~F.col("skip") & F.col("has").isNotNull()).alias("built"), count(F.col("skip")).alias("skipped"), count(~F.col("skip") & F.col("has").isNull()).alias("failed"), F.count(F.lit(1)).alias("total"))
+    return built, counts
+
+
 def summarize(blocks: DataFrame, k: int = 20, head_tokens: int = 500) -> DataFrame:
     """One row a document: head, top and bottom n-grams, lengths and numbers of paragraphs, sentences and entity-bearing sentences."""
     from tessera.operators.entities import TYPES, count_expr

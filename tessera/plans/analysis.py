@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.wordlists import STOPWORDS
 from tessera.operators import chunking as H
 from tessera.operators import cluster as C
 from tessera.operators import dedup as D
@@ -148,20 +149,21 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ctfidf_sql() -> str:
     from tessera.plans.docs import _T, _stop_sql
 
-    return rf"""WITH t AS (SELECT doc_id, quality, unnest(list_filter({_T}, lambda x: length(x) >= 2 AND regexp_matches(x, '\p{{L}}') AND NOT list_contains([{_stop_sql()}], x))) term FROM documents JOIN labels USING (doc_id)),
-f AS (SELECT term, count(*) f FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 3), c AS (SELECT quality, term, count(*) tf FROM t GROUP BY 1, 2), z AS (SELECT quality, sum(tf) size FROM c GROUP BY 1),
-s AS (SELECT quality, term, tf / CAST(size AS DOUBLE) * ln(1 + (SELECT avg(size) FROM z) / f) s FROM c JOIN f USING (term) JOIN z USING (quality))
-SELECT CAST(quality AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, term, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY round(s, 12) DESC, term) rank FROM s) WHERE rank <= 10"""
+    return rf"""WITH s AS (SELECT quality, list_filter({_T}, lambda x: NOT list_contains([{_stop_sql()}], x)) ts FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT quality, unnest(ts) term FROM s UNION ALL SELECT quality, unnest(list_transform(range(1, len(ts)), lambda i: array_to_string(ts[i:i + 1], ' '))) FROM s WHERE len(ts) >= 2),
+f AS (SELECT term, count(*) f FROM t GROUP BY term HAVING count(*) >= 3), c AS (SELECT quality, term, count(*) tf FROM t GROUP BY 1, 2), z AS (SELECT quality, sum(tf) size FROM c GROUP BY 1),
+s2 AS (SELECT quality, term, tf / CAST(size AS DOUBLE) * ln(1 + (SELECT avg(size) FROM z) / f) s FROM c JOIN f USING (term) JOIN z USING (quality))
+SELECT CAST(quality AS BIGINT) AS cluster_id, CAST(rank AS INTEGER) AS rank, term, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY round(s, 12) DESC, term) rank FROM s2) WHERE rank <= 10"""
 
 
 @query(_ctfidf_sql())
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_clusters(_labelled(spark, sf_dir), 10, min_df=3).withColumn("score", F.round("score", 9))
+    return C.label_clusters(_labelled(spark, sf_dir), 10, min_df=3, stopwords=STOPWORDS).withColumn("score", F.round("score", 9))
 
 
 @query()
 def cluster_labels_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_clusters(_labelled(spark, sf_dir), 10, diversity=0.3, min_df=3).withColumn("score", F.round("score", 9))
+    return C.label_clusters(_labelled(spark, sf_dir), 10, diversity=0.3, min_df=3, stopwords=STOPWORDS, token_prefix=6).withColumn("score", F.round("score", 9))
 
 
 @query("SELECT CAST(quality AS BIGINT) AS cluster_id, count(*) AS size, arg_max(doc_id, length(text) * 1000000 - doc_id) AS exemplar FROM documents JOIN labels USING (doc_id) GROUP BY quality")
@@ -259,8 +261,10 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), left.alias("left"), top.cast("double").alias("top"), (left + 8).alias("right"), (top + 12).cast("double").alias("bottom"), F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("text"), (F.lit(8.0) + F.col("l_linenumber")).alias("font_size"))
 
 
-_BOX = "x AS (SELECT l_suppkey AS page, l_quantity * 10 AS l, l_quantity * 10 + 8 AS r, floor(l_extendedprice / 100) * 20 AS t, floor(l_extendedprice / 100) * 20 + 12 AS b FROM lineitem), e AS (SELECT page, min(l) lo, max(r) hi FROM x GROUP BY page)"
+_BOX = "x AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS ord, lower(l_returnflag || ' ' || l_linestatus || ' ' || l_linenumber) AS txt, l_quantity * 10 AS l, l_quantity * 10 + 8 AS r, floor(l_extendedprice / 100) * 20 AS t, floor(l_extendedprice / 100) * 20 + 12 AS b FROM lineitem), e AS (SELECT page, min(l) lo, max(r) hi FROM x GROUP BY page)"
 _PROFILE = f"{_BOX}, g AS (SELECT page, lo, hi, unnest(range(0, CAST(greatest(1, ceil((hi - lo) / 4)) AS BIGINT))) AS bin FROM e), p AS (SELECT g.page, g.bin, CAST(count(x.page) AS DOUBLE) AS weight FROM g LEFT JOIN x ON x.page = g.page AND g.bin >= floor((x.l - g.lo) / 4) AND g.bin < ceil((x.r - g.lo) / 4) GROUP BY 1, 2)"
+#: Tops are 20 apart, so a line is the boxes of one top.
+LINES = f"{_BOX}, ln AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY page ORDER BY t) - 1 AS INTEGER) AS line FROM x)"
 
 
 @query(f"WITH {_PROFILE} SELECT * FROM p")
@@ -274,9 +278,9 @@ def layout_valleys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.find_valleys(L.projection_profile(_boxes(spark, sf_dir), "x", 4.0), 8.0)
 
 
-@query()
+@query(f"WITH {LINES} SELECT page, line, CAST(row_number() OVER (PARTITION BY page, line ORDER BY l, ord) - 1 AS INTEGER) AS position, ord FROM ln")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.group_into_lines(_boxes(spark, sf_dir))
+    return L.group_into_lines(_boxes(spark, sf_dir)).select("page", "line", "position", "ord")
 
 
 @query()
@@ -284,15 +288,18 @@ def layout_xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.xy_cut(_boxes(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_BOX}, v AS (SELECT page, min(t) lo, max(b) hi FROM x GROUP BY page), z AS (SELECT page, ord, txt, CASE WHEN (t + b) / 2 < lo + (hi - lo) * 0.1::DOUBLE THEN 'header' WHEN (t + b) / 2 > hi - (hi - lo) * 0.1::DOUBLE THEN 'footer' END AS zone FROM x JOIN v USING (page) WHERE hi > lo),
+f AS (SELECT zone, txt FROM z WHERE zone IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= greatest(2, floor((SELECT count(*) FROM v) * 0.5))) SELECT page, ord, zone FROM z JOIN f USING (zone, txt)""")
 def layout_headers_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.headers_footers(_boxes(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT 8.0::DOUBLE + l_linenumber AS size, CAST(sum(length(l_returnflag || ' ' || l_linestatus || ' ' || l_linenumber)) AS BIGINT) chars FROM lineitem GROUP BY 1), b AS (SELECT arg_max(size, chars) body FROM s)
-SELECT size, chars, CASE WHEN size = body THEN 'body' WHEN size > body THEN 'heading' ELSE 'note' END AS role, CAST(CASE WHEN size > body THEN least(6, dense_rank() OVER (PARTITION BY size > body ORDER BY size DESC)) END AS INTEGER) AS depth FROM s, b""")
+@query("""WITH s AS (SELECT 8.0::DOUBLE + l_linenumber AS size, count(*) AS blocks FROM lineitem GROUP BY 1), c AS (SELECT a.size a, b.size b, d.size d FROM s a, s b, s d WHERE a.size < b.size AND b.size < d.size AND d.size < (SELECT max(size) FROM s)),
+l AS (SELECT a, b, d, size, blocks, CASE WHEN size <= a THEN 0 WHEN size <= b THEN 1 WHEN size <= d THEN 2 ELSE 3 END k FROM c, s), v AS (SELECT a, b, d, sum(v) v FROM (SELECT a, b, d, k, sum(blocks * size * size) - pow(sum(blocks * size), 2) / sum(blocks) v FROM l GROUP BY ALL) GROUP BY ALL),
+w AS (SELECT a, b, d FROM v ORDER BY round(v, 6), a, b, d LIMIT 1) SELECT size, blocks, ['footnote', 'body', 'subheading', 'heading'][k + 1] AS role FROM l SEMI JOIN w USING (a, b, d)""")
 def layout_font_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify_font_sizes(_boxes(spark, sf_dir))
+    """Seven sizes in four natural classes; the SQL tries every way to cut."""
+    return L.classify_font_sizes(_boxes(spark, sf_dir).withColumn("doc", F.lit(1)), "doc").drop("doc")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -236,21 +236,30 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with an amount, a date, a term and a share put at their end, other ones a line, so that every type is there."""
     d = texts(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
-    return d.select("doc_id", F.size("ls").alias("total"), F.posexplode("ls").alias("n", "text")).withColumn("after_heading", F.col("n") == 1)
+    u = d.select("doc_id", F.size("ls").alias("total"), F.posexplode("ls").alias("n", "text")).withColumn("after_heading", F.col("n") == 1)
+    i = F.col("n")
+    put = F.concat("text", F.lit(" Paid $"), i + 1, F.lit(",500 on 2021-03-1"), i % 10, F.lit(", due in "), i % 9 + 1, F.lit(" days at "), i % 50, F.lit(".5 %"))
+    return u.withColumn("text", put)
 
 
-def _entity(kind: str) -> None:
+_PUT = "t || ' Paid $' || (n + 1) || ',500 on 2021-03-1' || (n % 10) || ', due in ' || (n % 9 + 1) || ' days at ' || (n % 50) || '.5 %'"
+
+
+def _entity_sql(kind: str) -> str:
     pattern = E.TYPES[kind].replace("'", "''")
-    sql = f"""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) total, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 n FROM documents),
-v AS (SELECT doc_id, total, n, t, len(list_distinct(regexp_extract_all(t, '{pattern}'))) k FROM l), w AS (SELECT *, CAST(length(t) AS DOUBLE) len, CASE WHEN total <= 1 THEN 1.0::DOUBLE ELSE greatest(0.25::DOUBLE, (n::DOUBLE / total - 0.9::DOUBLE) / 0.1::DOUBLE) END p FROM v WHERE k > 0)
+    return f"""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) total, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 n FROM documents),
+a AS (SELECT doc_id, total, n, {_PUT} t FROM l), v AS (SELECT doc_id, total, n, t, len(list_distinct(regexp_extract_all(t, '{pattern}'))) k FROM a), w AS (SELECT *, CAST(length(t) AS DOUBLE) len, CASE WHEN total <= 1 THEN 1.0::DOUBLE ELSE greatest(0.25::DOUBLE, (n::DOUBLE / total - 0.9::DOUBLE) / 0.1::DOUBLE) END p FROM v WHERE k > 0)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS n_values, round(0.6::DOUBLE * least(1.0::DOUBLE, k / 3.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN n = 1 THEN least(1.0::DOUBLE, p + 0.3::DOUBLE) ELSE p END + 0.2::DOUBLE * CASE WHEN len <= 20 OR len >= 400 THEN 0.0::DOUBLE WHEN len < 40 THEN (len - 20) / 20 WHEN len <= 200 THEN 1.0::DOUBLE ELSE (400 - len) / 200 END, 6) AS salience FROM w"""
 
+
+def _entity(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = E.filter_units(_units(spark, sf_dir), kind)
         return got.select("doc_id", "n", F.size("values").alias("n_values"), F.round("salience", 6).alias("salience"))
 
-    QUERIES[f"entity_{kind}"], SQL[f"entity_{kind}"] = run, sql
+    QUERIES[f"entity_{kind}"], SQL[f"entity_{kind}"] = run, _entity_sql(kind)
 
 
 for _k in E.TYPES:

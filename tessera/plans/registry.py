@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "dedup_text_hash"
-MODULES = ("dedup", "relational", "tables", "docs", "analysis", "structure")
+MODULES = ("dedup", "relational", "tables", "docs", "analysis", "structure", "reading")
 QUERIES, SQL = {}, {}
 for _m in MODULES:
     _q = import_module(f"tessera.plans.{_m}")

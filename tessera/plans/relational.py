@@ -41,9 +41,9 @@ _add("join_cross", "SELECT r_name, c_mktsegment, count(*) AS n FROM region CROSS
 _add("join_range", """SELECT b.band, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part JOIN (VALUES ('s', 1, 10), ('m', 11, 30), ('l', 31, 100)) AS b(band, lo, hi)
 ON p_size BETWEEN b.lo AND b.hi GROUP BY b.band""")
 _add("join_semi", "SELECT p_partkey, p_name FROM part LEFT SEMI JOIN lineitem ON l_partkey = p_partkey AND l_quantity >= 49", "SELECT p_partkey, p_name FROM part SEMI JOIN (SELECT * FROM lineitem WHERE l_quantity >= 49) ON l_partkey = p_partkey")
-_add("join_anti", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+_add("join_anti", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000", "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey")
 _add("exists", "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount > 0.09 AND l.l_quantity > 49)")
-_add("not_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
+_add("not_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_suppkey < 20)")
 _add("scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.05 FROM part)")
 _add("correlated_subquery", """SELECT o.o_orderkey, o.o_totalprice FROM orders o WHERE o.o_totalprice > (SELECT 2 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)""")
 _add("cte", "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM spent WHERE total > 3000000) SELECT c_name, round(total, 2) AS total FROM top JOIN customer ON c_custkey = o_custkey")
@@ -78,7 +78,7 @@ _add("first_last", "SELECT DISTINCT user_id, first_value(event_type) OVER w AS f
 _add("union_all", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region")
 _add("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _add("intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 5")
-_add("except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+_add("except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
 _add("except_all", "SELECT p_brand FROM part EXCEPT ALL SELECT p_brand FROM part WHERE p_size > 20")
 _add("intersect_all", "SELECT p_type FROM part WHERE p_size > 20 INTERSECT ALL SELECT p_type FROM part WHERE p_size < 15")
 _add("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -109,3 +109,7 @@ _add("null_handling", "SELECT count(*) AS n, count(q) AS known, sum(CASE WHEN q
 _add("conversation_turns", "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, count(*) OVER (PARTITION BY conv_id) AS turns, length(text) AS n FROM conversations",
      "SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, count(*) OVER (PARTITION BY conv_id) AS turns, CAST(length(text) AS INTEGER) AS n FROM conversations")
 _add("benchmark_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+_add("maps", "SELECT c_custkey, map_keys(m)[0] AS first_key, element_at(m, 'b') AS b, size(m) AS n, map_contains_key(m, 'z') AS z FROM (SELECT c_custkey, map('a', c_acctbal, 'b', c_nationkey * 1.0D) AS m FROM customer)",
+     "SELECT c_custkey, 'a' AS first_key, c_nationkey * 1.0::DOUBLE AS b, 2 AS n, FALSE AS z FROM customer")
+_add("approximate", "SELECT abs(approx_count_distinct(o_custkey, 0.01) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) AS near, abs(percentile_approx(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) <= 0.01 * percentile(o_totalprice, 0.5) AS middle FROM orders",
+     "SELECT TRUE AS near, TRUE AS middle")

@@ -53,7 +53,7 @@ def tabular_summary(df: DataFrame, name: str) -> str:
     return f"{name}: {df.count()} rows x {len(df.columns)} columns\n" + "\n".join(f"- {f.name} ({logical_type(f)})" for f in df.schema.fields)
 
 
-ESCAPES = r"([\\`*_\[\]<~])"
+ESCAPES = r"([\\`*_\[\]<~$])"
 
 
 def escape_markdown(c: Column) -> Column:
@@ -97,6 +97,37 @@ def block_html() -> Column:
     return out.when(F.col("node_type") == "codeblock", F.concat(F.lit("<pre"), page, F.lit("><code>"), e, F.lit("</code></pre>"))).when(F.col("node_type") == "blockquote", tag("blockquote")).when(F.col("node_type") == "list_item", tag("li")).when(F.col("node_type") == "figure", F.concat(F.lit('<img src="'), escape_html(safe_url(F.coalesce(F.col("attrs")["src"], F.lit("")))), F.lit('" alt="'), e, F.lit('">'))).otherwise(tag("p"))
 
 
+def table_texts(cells: DataFrame, kind: str = "markdown") -> DataFrame:
+    """doc_id, table_n, name, text: each table of extracted cells (nodes.table_cells) as a pipe table or as HTML.
+
+    Markdown: a pipe in a cell is escaped, a line's end is a blank, columns are padded, a table without a head gets an empty
+    one, short rows are filled up. HTML: head cells are th, texts are escaped.
+    """
+    if kind == "markdown":
+        cells = cells.withColumn("text", F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "))
+    table = ["doc_id", "table_n", "name"]
+    size = cells.groupBy(*table).agg((F.max("col") + 1).alias("cols"), F.max(F.when(F.col("section") == "head", F.col("row"))).alias("top"))
+    width = cells.groupBy(*table, "col").agg(F.greatest(F.lit(3), F.max(F.length("text"))).alias("w"))
+    widths = width.groupBy(*table).agg(F.map_from_entries(F.collect_list(F.struct("col", "w"))).alias("w"))
+    rows = cells.groupBy(*table, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("c"), F.max(F.col("section") == "head").alias("head"))
+    got = rows.join(size, table).join(widths, table)
+    each = F.sequence(F.lit(0), F.col("cols") - 1)
+    if kind == "html":
+        cell = lambda i: F.concat(F.when(F.col("head"), "<th>").otherwise("<td>"), escape_html(F.coalesce(F.col("c")[i], F.lit(""))), F.when(F.col("head"), "</th>").otherwise("</td>"))
+        line = F.concat(F.lit("<tr>"), F.array_join(F.transform(each, cell), ""), F.lit("</tr>"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("l")))), lambda x: x["l"]), "")
+        return got.groupBy(*table).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("text"))
+    bar = lambda f: F.concat(F.lit("| "), F.array_join(F.transform(each, f), " | "), F.lit(" |"))
+    line = bar(lambda i: F.rpad(F.coalesce(F.col("c")[i], F.lit("")), F.coalesce(F.col("w")[i], F.lit(3)), F.lit(" ")))
+    rule = bar(lambda i: F.repeat(F.lit("-"), F.coalesce(F.col("w")[i], F.lit(3))))
+    blank = bar(lambda i: F.repeat(F.lit(" "), F.coalesce(F.col("w")[i], F.lit(3))))
+    first = F.coalesce("top", F.lit(-1))
+    texts = got.groupBy(*table, "cols", "w", "top").agg(F.array_sort(F.collect_list(F.struct("row", line.alias("l")))).alias("ls"))
+    part = lambda cond: F.transform(F.filter("ls", cond), lambda x: x["l"])
+    head = F.when(F.col("top").isNull(), F.array(blank)).otherwise(part(lambda x: x["row"] <= first))
+    return texts.select(*table, F.array_join(F.concat(head, F.array(rule), part(lambda x: x["row"] > first)), "\n").alias("text"))
+
+
 def redact(blocks: DataFrame, marks: DataFrame) -> DataFrame:
     """Blank out annotated stretches before anything reads the text; a mark without offsets hides its whole block."""
     spans = marks.groupBy("doc_id", "body_index").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("start", F.lit(0)).alias("s"), F.coalesce("end", F.lit(1 << 30)).alias("e")))).alias("spans"))

@@ -374,14 +374,114 @@ def test_layout_pages(spark):
     assert p.count() == 100 and p.where("weight = 0").count() == 20
     v = layout.find_valleys(p).first()
     assert (v.start, v.end, v.center) == (40, 60, 50)
-    assert layout.detect_columns(b).first().columns == 2
+    assert [(r.n, r.left, r.right) for r in layout.detect_columns(b).orderBy("n").collect()] == [(1, 0.0, 40.0), (2, 60.0, 100.0)]
     assert [r.region for r in layout.xy_cut(b).orderBy("ord").collect()] == [0, 1, 2, 3]
     h = boxes(spark, [(p, 0, y, 50, y + 5, t) for p in range(1, 5) for y, t in ((0, f"Page {p}" if p < 3 else f"other {chr(96 + p)}"), (50, f"body {p}"), (95, "foot"))])
-    assert {(r.zone, r.key) for r in layout.headers_footers(h).collect()} == {("header", "page #"), ("footer", "foot")}
+    # page numbers differ, so they aren't the same text; the foot is
+    assert {(r.zone, r.ord) for r in layout.headers_footers(h).collect()} == {("footer", 2), ("footer", 5), ("footer", 8), ("footer", 11)}
+    assert layout.headers_footers(h.where("page = 1")).count() == 0
     lines = spark.createDataFrame([(1, i, float(t), float(t + 10)) for i, t in enumerate((0, 12, 24, 60, 72))], "page long, line long, top double, bottom double")
     assert [r.line for r in layout.paragraph_breaks(lines).where("breaks").collect()] == [3]
-    cells = spark.createDataFrame([(1, i, n) for i, n in enumerate((1, 4, 4, 3, 1, 3))], "page long, line long, cells int")
-    assert [(r.first_line, r.last_line) for r in layout.table_regions(cells).collect()] == [(1, 3)]
+    for method, want in (("relative", [3]), ("jenks", [3])):
+        assert [r.line for r in layout.paragraph_breaks(lines, method).where("breaks").collect()] == want
+    even = spark.createDataFrame([(1, i, float(12 * i), float(12 * i + 10)) for i in range(6)], "page long, line long, top double, bottom double")
+    assert layout.paragraph_breaks(even).where("breaks").count() == 0
+    # most gaps large: no meaningful split for Otsu, one for Jenks
+    wide = spark.createDataFrame([(1, i, float(t), float(t + 10)) for i, t in enumerate((0, 12, 40, 68, 96, 124, 152))], "page long, line long, top double, bottom double")
+    assert layout.paragraph_breaks(wide).where("breaks").count() == 0
+    grid = boxes(spark, [(1, 0, 0, 90, 10, "title"), *[(1, x + d, y, x + 20, y + 10, "c") for y in (20, 40, 60) for x, d in ((0, 0), (40, 1), (80, 0))], (1, 13, 80, 90, 90, "text")])
+    assert [tuple(r) for r in layout.table_regions(layout.group_into_lines(grid)).collect()] == [(1, 0.0, 20.0, 100.0, 70.0)]
+
+
+def test_font_sizes(spark):
+    def roles(sizes, **how):
+        b = spark.createDataFrame([(1, float(x)) for x in sizes], "doc long, font_size double")
+        return {r["size"]: r.role for r in layout.classify_font_sizes(b, "doc", **how).collect()}
+
+    assert roles([10] * 9 + [18]) == {10.0: "body", 18.0: "heading"}
+    assert roles([10, 10.3]) == {10.0: "body", 10.3: "body"}
+    assert roles([7] * 3 + [10] * 9 + [18, 0]) == {7.0: "footnote", 10.0: "body", 18.0: "heading", 0.0: "body"}
+    assert roles([7, 10, 14, 20, 21]) == {7.0: "footnote", 10.0: "body", 14.0: "subheading", 20.0: "heading", 21.0: "heading"}
+    assert roles([1, 2, 3, 4, 5], k=5) == {float(i + 1): f"class_{i}" for i in range(5)}
+
+
+def test_natural_breaks_match_brute_force():
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        m, k = int(rng.integers(1, 9)), int(rng.integers(1, 5))
+        x, n = np.sort(rng.choice(60, m, replace=False)).astype(float), rng.integers(1, 6, m).astype(float)
+
+        def cost(label):
+            return sum(((x[label == c] - np.average(x[label == c], weights=n[label == c])) ** 2 * n[label == c]).sum() for c in set(label))
+
+        got = layout.natural_breaks(x, n, k)
+        want = min(cost(np.searchsorted(np.array(c), np.arange(m), "right")) for c in combinations(range(1, m), min(k, m) - 1))
+        assert abs(cost(got) - want) < 1e-9 and len(set(got)) == min(k, m)
+
+
+def test_builder_and_views(spark):
+    from tessera.operators import introspect
+    from tessera.sources import builder, nodes, serialize
+
+    b = builder.Builder(title="T").heading(1, "A ", builder.bold("b")).paragraph("see", builder.footnote_ref("n1"), " and ", builder.link("http://x", "y")).footnote("n1", "note")
+    b.table([["h1", "h|2"], ["a", "1|2"], ["b\nc"]], caption="C").begin("blockquote").paragraph("quoted").end().code_block("x = 1", "py").image("i.png", "alt").thematic_break()
+    t = nodes.block_table(builder.documents(spark, {1: b.build()})).orderBy("body_index").collect()
+    assert [(r.node_type, r.text) for r in t][:2] == [("heading", "A b"), ("paragraph", "see and y")]
+    n = builder.documents(spark, {1: b.build()})
+    assert nodes.find_by_type(n, "footnote_ref").count() == 1 and nodes.walk(n).where("ref LIKE '#/footnotes/n1%'").count() == 2
+    cells = nodes.table_cells(n)
+    assert [tuple(r)[2:] for r in introspect.tables_summary(cells).collect()] == [("C", 3, 2)]
+    assert serialize.table_texts(cells).first().text == "| h1  | h\\|2 |\n| --- | ---- |\n| a   | 1\\|2 |\n| b c |      |"
+    assert serialize.table_texts(cells, "html").first().text == "<table><tr><th>h1</th><th>h|2</th></tr><tr><td>a</td><td>1|2</td></tr><tr><td>b\nc</td><td></td></tr></table>"
+    with pytest.raises(ValueError):
+        builder.Builder().heading(7, "x")
+    with pytest.raises(ValueError):
+        builder.Builder().begin("div").build()
+    with pytest.raises(ValueError):
+        builder.Builder().end()
+    boxes_ = spark.createDataFrame([(1.0, 0.0)], "w double, h double")
+    with pytest.raises(Exception, match="positive"):
+        boxes_.select(introspect.normalize_box(*[F.lit(1.0)] * 4, F.col("w"), F.col("h"))).collect()
+
+
+def test_search_errors_and_index(spark, tmp_path):
+    from tessera.operators import search
+
+    b = blocks(spark, [(0, 1), (1, None)])
+    for bad in ({"query": " "}, {"query": "x", "level": "word"}, {"query": "x", "retrieval": "magic"}, {"query": "x", "retrieval": "hybrid"}):
+        with pytest.raises(ValueError):
+            search.search_document(b, **bad)
+    p = spark.createDataFrame([(1, 0, "red fox"), (1, 1, "the dog"), (2, 0, "red red dog"), (3, 0, "")], "doc_id long, n int, text string")
+    c = search.Corpus.build(p, str(tmp_path / "index"))
+    got = c.search("RED", 5, preview_length=3).orderBy("row").collect()
+    assert [(r.row, r.doc_id, r.text) for r in got] == [(0, 1, "red..."), (2, 2, "red...")]
+    want = {(r.doc_id, r.row): r.score for r in search.bm25(p.withColumnRenamed("n", "row"), "red").collect()}
+    assert {(r.doc_id, r.n): r.score for r in got} == {k: round(v, 4) for k, v in want.items()}
+    assert c.document_of(3) == 3 and c.search("nothing").count() == 0
+    with pytest.raises(IndexError):
+        c.document_of(4)
+    again = search.Corpus(spark, str(tmp_path / "index"))
+    assert again.search("dog").count() == 2
+
+
+def test_perceptual_hashes(spark):
+    import numpy as np
+
+    from tessera.operators import dedup
+
+    rng = np.random.default_rng(2)
+    image = rng.random((32, 32)).cumsum(axis=0).cumsum(axis=1)
+    rows = [(0, image.ravel().tolist()), (1, (image * 1.5 + 3).ravel().tolist()), (2, rng.random(1024).tolist()), (3, None), (4, [1.0])]
+    h = {r.i: r.h for r in spark.createDataFrame(rows, "i long, p array<double>").select("i", dedup.dct_hash(F.col("p")).alias("h")).collect()}
+    assert h[0] == h[1] and h[3] is None and h[4] is None and bin((h[0] ^ h[2]) & (1 << 64) - 1).count("1") > 10
+    # the fourth page isn't compared; two documents share one page of three
+    pages = spark.createDataFrame([(1, 0, 0), (1, 1, 1 << 20), (1, 2, 77), (1, 3, -1), (2, 0, 3), (2, 1, -9999999999), (3, 0, -1), (4, 0, None)], "ord long, page int, h long")
+    assert {(r.canonical, r.member) for r in dedup.perceptual(pages, 2).collect()} == {(1, 1), (1, 2)}
+    assert dedup.perceptual(pages, 2, overlap=3).count() == 0
 
 
 def test_streams(spark, tmp_path):
