@@ -9,12 +9,13 @@ Prefix sums are distributed. The hash order of a source is cut into `BUCKETS` eq
 (source, range) are a small table that is summed up by a window, and inside a range another window adds the rest, so
 a source that holds most of the corpus is spread over all tasks. The global order is a range partitioning of narrow
 rows (id, source, tokens, time), written once to the shared folder; partition totals give each partition its offset.
-Texts never move: only counts of tokens do.
+Texts are read once, for the narrow rows (id, source, tokens) that all sums and orders are made of, and never move.
 
-Defined cases: a null source is a source of its own ('' in the weights, null in the result); a source that the weights
-lack has weight `default`; weight 0 keeps a source out; null and empty texts have 0 tokens and are kept where their
-turn comes before the end; rows with equal ids follow by tokens and then by text, equal rows are interchangeable; an
-empty table gives an empty mix; other columns are never read. Tokens are runs of characters that aren't white space.
+Defined cases: a null source is a source of its own, apart from '' (both have the weight of '' in `weights`); a source
+that the weights lack has weight `default`; weight 0 keeps a source out, its tokens count for the budget; null and empty
+texts have 0 tokens and are kept where their turn comes before the end; a text of any length is counted whole; rows with
+equal ids follow by tokens and then by text, equal rows are interchangeable; an empty table gives an empty mix; other
+columns are never read. Tokens are runs of characters that aren't white space.
 """
 
 from __future__ import annotations
@@ -43,27 +44,37 @@ def _weight(source: Column, weights: dict[str, float], default: float) -> Column
     return w
 
 
+def place_of(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+
+
+def digest_of(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
 def narrow(docs: DataFrame, weights: dict[str, float], default: float) -> DataFrame:
-    """id, source, tokens, place in the source's order and a digest of the text for equal ids."""
-    src = F.coalesce(docs["source"], F.lit(""))
+    """id, source, tokens, place in the source's order, digest of the text for equal ids, and weight."""
     return docs.select(
         docs["doc_id"].alias("doc_id"),
         docs["source"].alias("source"),
-        src.alias("s"),
         n_tokens(docs["text"]).alias("tokens"),
-        F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long").alias("place"),
-        F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("digest"),
-        _weight(src, weights, default).alias("weight"),
-    ).where("weight > 0")
+        place_of(docs["doc_id"]).alias("place"),
+        digest_of(docs["text"]).alias("digest"),
+        _weight(F.coalesce(docs["source"], F.lit("")), weights, default).alias("weight"),
+    )
 
 
-def finish_times(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = 1.0) -> DataFrame:
-    rows = narrow(docs, weights, default).withColumn("range", F.shiftright("place", 60 - (BUCKETS.bit_length() - 1)))
-    sums = rows.groupBy("s", "range").agg(F.sum("tokens").alias("t"))
-    before = sums.select("s", "range", (F.sum("t").over(Window.partitionBy("s").orderBy("range")) - F.col("t")).alias("before"))
-    inside = Window.partitionBy("s", "range").orderBy("place", F.col("doc_id").asc_nulls_first(), "tokens", "digest").rowsBetween(Window.unboundedPreceding, 0)
+def finish_times(rows: DataFrame) -> DataFrame:
+    """rows: as of `narrow`."""
+    # a null source and '' have the same `s` but not the same `none`
+    s, none = F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")
+    rows = rows.where("weight > 0").select("*", s, none, F.shiftright("place", 60 - (BUCKETS.bit_length() - 1)).alias("range"))
+    key = ["s", "none", "range"]
+    sums = rows.groupBy(*key).agg(F.sum("tokens").alias("t"))
+    before = sums.select(*key, (F.sum("t").over(Window.partitionBy("s", "none").orderBy("range")) - F.col("t")).alias("before"))
+    inside = Window.partitionBy(*key).orderBy("place", F.col("doc_id").asc_nulls_first(), "tokens", "digest").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(before, ["s", "range"])
+        rows.join(before, key)
         .withColumn("used", F.col("before") + F.sum("tokens").over(inside))
         .withColumn("finish", F.col("used").cast("double") / F.col("weight"))
         .select("doc_id", "source", "tokens", "place", "digest", "finish")
@@ -73,12 +84,13 @@ def finish_times(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default:
 def mix(docs: DataFrame, budget: int | None = None, share: float = SHARE, weights: dict[str, float] = WEIGHTS, default: float = 1.0) -> DataFrame:
     """doc_id, source, tokens, finish, total (tokens up to here, in the order of the mix) for the documents that the mix holds."""
     order = [F.col("finish"), F.col("place"), F.col("doc_id").asc_nulls_first(), F.col("tokens"), F.col("digest")]
-    part = materialize(finish_times(docs, weights, default).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix")
+    rows = materialize(narrow(docs, weights, default), "tokens")
+    part = materialize(finish_times(rows).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix")
     sums = part.groupBy("part").agg(F.sum("tokens").alias("t"))
     before = sums.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
     if budget is None:
         # all tokens, those of sources with weight 0 too
-        limit = docs.agg(F.floor(F.coalesce(F.sum(n_tokens(docs["text"])), F.lit(0)) * F.lit(float(share))).alias("budget"))
+        limit = rows.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(float(share))).alias("budget"))
     else:
         limit = docs.sparkSession.range(1).select(F.lit(int(budget)).cast("long").alias("budget"))
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -95,19 +107,16 @@ def select_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The documents that the mix holds, all columns, without moving a text.
 
     The mix holds a prefix of each source's order, so the last place in each source says it all. A place is a 60-bit
-    hash of the id; rows that share the last one are compared by id, tokens and text as in the mix.
+    hash of the id; only rows that share the last one are compared by id, tokens and text as in the mix.
     """
-    last = (
-        mix(docs, **how)
-        .groupBy(F.coalesce("source", F.lit("")).alias("__s"))
-        .agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "tokens", "digest")).alias("__last"))
-    )
+    lowest = F.lit(-(1 << 63))
+    last = mix(docs, **how).groupBy(F.col("source").alias("__s")).agg(F.max(F.struct("place", F.coalesce("doc_id", lowest).alias("d"), "tokens", "digest")).alias("__last"))
     last = materialize(last, "last")  # a row a source; counted, so that the hint is given to a small table only
     last = broadcast_if_small(last, last.count())
-    src = F.coalesce(docs["source"], F.lit(""))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    here = F.struct(place.alias("place"), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))).alias("d"), n_tokens(docs["text"]).alias("tokens"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("digest"))
-    return docs.join(last, (src == last["__s"]) & (here <= last["__last"])).select(*[docs[f"`{c}`"] for c in docs.columns])
+    place, end = place_of(docs["doc_id"]), last["__last"]
+    here = F.struct(F.coalesce(docs["doc_id"], lowest).alias("d"), n_tokens(docs["text"]).alias("tokens"), digest_of(docs["text"]).alias("digest"))
+    upto = (place < end["place"]) | ((place == end["place"]) & (here <= F.struct(end["d"].alias("d"), end["tokens"].alias("tokens"), end["digest"].alias("digest"))))
+    return docs.join(last, docs["source"].eqNullSafe(last["__s"]) & upto).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
