@@ -7,12 +7,14 @@ aligned with the whole item (match 2, mismatch -1, gap -1). The score is the sha
 the item; from `SCORE` on the document holds a copy, exact, edited or paraphrased in places. Stretches that share too
 few words with the item to reach that in any order, which is what most hits of common seeds are, are not aligned.
 
-Items and seeds are broadcast in slabs of at most `SLAB` words of benchmark text, one pass over the corpus a slab, so
-neither grows with the benchmark beyond that; nothing is shuffled.
-
-Defined cases: null and empty texts and items match nothing, nor do items of fewer than `SEED` words; equal rows give
-equal rows; items with equal ids are told apart by their text and reported by id (once, with the best score); a null
-doc_id or item_id takes no part in the report; texts of any length are searched whole; other columns are never read.
+Items and seeds are broadcast in slabs of at most `SLAB` words of benchmark text, or of one item id's, one pass over the
+corpus a slab, so neither grows with the benchmark beyond that; nothing is shuffled.
+
+Defined cases: null and empty texts and items match nothing; an item of fewer than `SEED` words is its own seed, so it
+is found where it stands unchanged; equal rows give equal rows; items with equal ids are told apart by their text and
+reported by id (once, with the best score); a null doc_id or item_id takes no part in the report, but a null doc_id
+is filtered like any other; texts of any length are searched whole; an empty benchmark contaminates nothing, an empty
+table gives an empty result; other columns are never read, and pass through `reject_contaminated` whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.session import small_batches
 
 SEED = 4
 SCORE = 0.5
-SLAB = 400_000
+SLAB = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _CELLS = 1 << 21
 _PAIRS = 1 << 18
@@ -41,9 +45,18 @@ class Slab:
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         w = tk.words(pa.array(texts, pa.string()))
         self.ids, self.words, self.offsets = np.array(ids, np.int64), w.hash, w.offsets
-        grams, at = tk.ngrams(w, SEED)
+        owner, runs = np.repeat(np.arange(len(ids)), w.counts), []
+        for n in range(1, SEED + 1):
+            grams, at = tk.ngrams(w, n)
+            if n < SEED:  # shorter items as a whole
+                own = w.counts[owner[at]] == n
+                grams, at = grams[own], at[own]
+            runs.append((grams, at))
+        #: The lengths of runs that some item has a seed of.
+        self.lengths = [n for n, (g, _) in enumerate(runs, 1) if len(g)]
+        grams, at = (np.concatenate(x) for x in zip(*runs, strict=True))
         order = np.argsort(grams, kind="stable")
-        item = np.repeat(np.arange(len(ids)), w.counts)[at[order]]
+        item = owner[at[order]]
         self.gram, self.item, self.place = grams[order], item, at[order] - w.offsets[item]
         self.keys, self.first = np.unique(self.gram, return_index=True)
         # words of each item, and how often it has them
@@ -97,10 +110,15 @@ def align(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.nd
 
 def scores(slab: Slab, w: tk.Words, least: float = 0.0) -> Iterator[tuple[int, int, float, int, int]]:
     """(document of the batch, item, score, first and last word of the stretch) of the candidate stretches, all that score at least so much among them."""
-    grams, at = tk.ngrams(w, SEED)
-    hit, key = slab.find(grams)
-    where = at[hit]
-    upto = np.cumsum(np.append(slab.first[1:], len(slab.gram))[key] - slab.first[key]) if len(hit) else where
+    hits = []
+    for n in slab.lengths:
+        grams, at = tk.ngrams(w, n)
+        hit, key = slab.find(grams)
+        hits.append((at[hit], key))
+    where, key = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(where, kind="stable")
+    where, key = where[order], key[order]
+    upto = np.cumsum(np.append(slab.first[1:], len(slab.gram))[key] - slab.first[key]) if len(where) else where
     # documents at a time, so that pairs of a hit and an item stay bounded
     ends = np.flatnonzero(np.diff(np.searchsorted(w.offsets, where, "right"), append=-1)) + 1
     at = 0
@@ -154,17 +172,18 @@ def _scores(slab: Slab, w: tk.Words, at: np.ndarray, key: np.ndarray, least: flo
         at = to
 
 
-def slabs(benchmark: DataFrame, most: int = SLAB) -> Iterator[Slab]:
-    """The benchmark in bounded parts; each is brought to the driver by itself."""
+def slabs(benchmark: DataFrame, most: int | None = None) -> Iterator[Slab]:
+    """The benchmark in bounded parts; each is brought to the driver by itself. The texts of an id are in one part."""
     ids, texts, n = [], [], 0
+    most = SLAB if most is None else most
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
     for i, t in rows.toLocalIterator():
-        ids.append(i)
-        texts.append(t)
-        n += len(t) // 4 + 1
-        if n >= most:
+        if n >= most and i != ids[-1]:
             yield Slab(ids, texts)
             ids, texts, n = [], [], 0
+        ids.append(i)
+        texts.append(t)
+        n += len(t.split())
     if ids:
         yield Slab(ids, texts)
 
@@ -172,6 +191,7 @@ def slabs(benchmark: DataFrame, most: int = SLAB) -> Iterator[Slab]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, item_id, score, from_word, to_word: the best stretch of each item that a document holds."""
     spark, found = docs.sparkSession, None
+    small_batches(spark)
     for slab in slabs(benchmark):
         sent = spark.sparkContext.broadcast(slab)
 
@@ -196,23 +216,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) ->
     return found
 
 
-def reject_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
-    """The documents that hold no item, all columns, texts unmoved (one filter a slab)."""
-    k, spark = docs.columns.index("text"), docs.sparkSession
-    out = docs
-    for slab in slabs(benchmark):
-        sent = spark.sparkContext.broadcast(slab)
+def holds_none(sent: Broadcast, score: float):  # noqa: ANN201
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for part in tk.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            out.append(np.ones(part.num_rows, bool))
+            for d, _, s, _, _ in scores(sent.value, tk.words(part.column(0)), score):
+                out[-1][d] &= s < score
+        return pa.array(np.concatenate(out))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                for part in tk.slices(batch, "text"):
-                    clean = np.ones(part.num_rows, bool)
-                    for d, _, s, _, _ in scores(sent.value, tk.words(part.column(k)), score):
-                        clean[d] &= s < score
-                    yield part.filter(pa.array(clean))
+    return clean
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
+    """The documents that hold no item, all columns, texts unmoved: a filter a slab, from which only yes or no comes back from Python."""
+    small_batches(docs.sparkSession)
+    for slab in slabs(benchmark):
+        docs = docs.where(holds_none(docs.sparkSession.sparkContext.broadcast(slab), score)(docs["text"]))
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
