@@ -10,6 +10,7 @@ the shared folder from there.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +21,13 @@ BLOCK = 1 << 20
 SPOOL = 1 << 26
 
 
+def uri(folder: str) -> str:
+    """The folder as Arrow names it: `file:/x` has an empty host there, and S3 one scheme."""
+    if "://" in folder:
+        return re.sub("^s3[an]://", "s3://", folder)
+    return "file://" + folder.removeprefix("file:")
+
+
 class Sequential:
     """Numbers that are written in order, then read in order; a file once there are too many."""
 
@@ -37,7 +45,7 @@ class Sequential:
 
     def _spill(self) -> None:
         if self.stream is None:
-            self.fs, root = pafs.FileSystem.from_uri(self.folder if "://" in self.folder or self.folder.startswith("file:") else f"file://{self.folder}")
+            self.fs, root = pafs.FileSystem.from_uri(uri(self.folder))
             self.fs.create_dir(root, recursive=True)
             self.path = f"{root}/bwt-{uuid.uuid4().hex}"
             self.stream = self.fs.open_output_stream(self.path)
