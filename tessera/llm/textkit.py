@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 WHITE = " \t\n\r\f\x0b"
 #: The same words as a regular expression, for Spark and for SQL.
 WORD = "[^ \\t\\n\\r\\f\\x0B]+"
