@@ -72,7 +72,7 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def materialize(df: DataFrame, name: str = "table", partitions: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
@@ -80,15 +80,25 @@ def materialize(df: DataFrame, name: str = "table", partitions: list[str] | None
     if not _made:
         atexit.register(_sweep)
     _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path  # for `release`
+    return out
+
+
+def made(df: DataFrame | None = None) -> set[str]:
+    """Paths of the tables made by `materialize` that are still there: all, or that of a frame as it was returned."""
+    return set(_made) if df is None else {getattr(df, "_tessera_path", "")} & set(_made)
+
+
+def release_all(paths: set[str]) -> None:
+    for path in paths & set(_made):
+        _delete(_made.pop(path), path)
 
 
 def release(*frames: DataFrame) -> None:
     """Delete tables made by `materialize`, once nothing reads them any more."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            for known in [k for k in _made if path.endswith(k.split("://")[-1])]:
-                _delete(_made.pop(known), known)
+        release_all(made(df))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

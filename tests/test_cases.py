@@ -605,3 +605,17 @@ def test_cosine_pairs_over_slabs(spark, monkeypatch):
         monkeypatch.setattr(search, "SLAB_BYTES", most)
         got = search.cosine_pairs(spark.createDataFrame(rows, "id long, v array<double>"), 0.5).collect()
         assert {(r.a, r.b) for r in got} == want and all(abs(r.score - s[r.a, r.b]) < 1e-9 for r in got) and len(got) == len(want)
+
+
+def test_tables_in_the_shared_folder(spark):
+    import os
+
+    from tessera import session
+
+    before = session.made()
+    a, b = session.materialize(spark.range(5), "a"), session.materialize(spark.range(0), "b")
+    paths = session.made(a) | session.made(b)
+    assert len(paths) == 2 and session.made() == before | paths and a.count() == 5 and b.count() == 0
+    session.release(a, b)
+    assert session.made() == before and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    assert session.made(spark.range(3)) == set()
