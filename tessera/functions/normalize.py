@@ -37,10 +37,10 @@ def normalize_text(c: Column, lower: bool = True, compatibility: bool = True, dr
 
 
 def fold_entity(text: str) -> str:
-    """Strip suffixes from the end, of up to three words at a time, until none is left; never to nothing."""
+    """Strip suffixes from the end, of up to four words at a time, until none is left; never to nothing."""
     words = text.split()
     while words:
-        for n in range(min(3, len(words)), 0, -1):
+        for n in range(min(4, len(words)), 0, -1):
             if " ".join(words[-n:]).rstrip(".,;:").replace(".", "") in ENTITY_SUFFIXES:
                 del words[-n:]
                 break

@@ -251,7 +251,10 @@ def layout_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.modes(table(spark, sf_dir, "part").select(F.lit(0).alias("k"), F.col("p_size").cast("double").alias("x")), 3.0, "k").drop("k")
 
 
-@query()
+@query("""WITH o AS (SELECT c_nationkey::BIGINT k, c_acctbal x, count(*) n FROM customer GROUP BY 1, 2), p AS (SELECT k, x, sum(n) OVER w n, sum(n * x) OVER w s, sum(n * x * x) OVER w q, row_number() OVER w i FROM o WINDOW w AS (PARTITION BY k ORDER BY x)),
+z AS (SELECT k, arg_max(n, i) n, arg_max(s, i) s, arg_max(q, i) q, max(x) x, max(i) m FROM p GROUP BY k), c AS (SELECT a.k, a.x ax, b.x bx, z.x zx, a.q - a.s * a.s / a.n + (b.q - a.q) - pow(b.s - a.s, 2) / (b.n - a.n) + (z.q - b.q) - pow(z.s - b.s, 2) / (z.n - b.n) v FROM p a JOIN p b ON a.k = b.k AND a.i < b.i JOIN z ON z.k = a.k AND b.i < z.m),
+w AS (SELECT k, arg_min([ax, bx, zx], round(v, 4)) u FROM c GROUP BY k UNION ALL SELECT k, list(x ORDER BY x) FROM p GROUP BY k HAVING count(*) < 3)
+SELECT k AS g, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS class, unnest(u) AS upper FROM w""")
 def layout_jenks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.jenks_breaks(_balances(spark, sf_dir), 3, "k")
 
@@ -283,7 +286,8 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.group_into_lines(_boxes(spark, sf_dir)).select("page", "line", "position", "ord")
 
 
-@query()
+@query(f"""WITH {LINES}, g AS (SELECT *, CASE WHEN l - max(r) OVER (PARTITION BY page, t ORDER BY l, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 10 THEN 1 ELSE 0 END c FROM ln), h AS (SELECT *, sum(c) OVER (PARTITION BY page, t ORDER BY l, ord) k FROM g)
+SELECT page, ord, CAST(dense_rank() OVER (PARTITION BY page ORDER BY t, k) - 1 AS INTEGER) AS region FROM h""")
 def layout_xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.xy_cut(_boxes(spark, sf_dir))
 

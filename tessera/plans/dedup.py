@@ -1,25 +1,24 @@
-"""Queries on duplicate detection."""
+"""Queries on duplicate texts: the flagship."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.dedup import text_hash
 from tessera.session import texts
 
 QUERIES, SQL = {}, {}
 
 
-def text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir, "documents").where("trim(text) <> ''")
-    norm = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
-    key = docs.select("doc_id", F.sha2(norm, 256).alias("h"))
-    held = key.groupBy("h").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return key.join(held, "h").select(F.concat(F.lit("text_"), F.substring("h", 1, 16)).alias("cluster_id"), "canonical", F.col("doc_id").alias("member"), "n")
+def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose normalised texts are equal (compatibility forms, case, white space), with their survivor."""
+    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return text_hash(docs).select("cluster_id", "canonical", "member", "member_ord")
 
 
-QUERIES["dedup_text_hash"] = text_hash
+QUERIES["dedup_text_hash"] = duplicate_texts
 SQL["dedup_text_hash"] = r"""
 WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) h FROM documents WHERE trim(text) <> ''),
-g AS (SELECT h, min(doc_id) canonical, count(*) n FROM k GROUP BY h HAVING count(*) > 1)
-SELECT 'text_' || left(h, 16) AS cluster_id, canonical, doc_id AS member, n FROM k JOIN g USING (h)"""
+g AS (SELECT h, min(doc_id) canonical FROM k GROUP BY h HAVING count(*) > 1)
+SELECT 'text_' || left(h, 16) AS cluster_id, canonical, doc_id AS member, CAST(row_number() OVER (PARTITION BY h ORDER BY doc_id) - 1 AS INTEGER) AS member_ord FROM k JOIN g USING (h)"""

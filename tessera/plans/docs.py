@@ -266,7 +266,12 @@ for _k in E.TYPES:
     _entity(_k)
 
 
-@query()
+_NUMBER = E.TYPES["number"]
+
+
+@query(f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_NUMBER}') ms, string_split_regex(text, '{_NUMBER}') ps FROM documents),
+n AS (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) k FROM m), s AS (SELECT doc_id, ms[k] AS text, CAST(list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM n)
+SELECT doc_id, start, CAST(start + length(text) AS INTEGER) AS "end", text FROM s""")
 def entity_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "documents").select("doc_id", F.explode(E.matches("number")("text")).alias("m")).select("doc_id", "m.*")
 
@@ -320,14 +325,17 @@ def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest_join(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, 10)
 
 
-@query()
+@query(f"SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a, embeddings b) WHERE rank <= 10")
 def search_vectors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's nearest."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return R.nearest_join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e, 10)
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, {_T} ts FROM documents), z AS (SELECT doc_id, ts, len(ts) dl, count(*) OVER () n, avg(len(ts)) OVER () av FROM t),
+p AS (SELECT doc_id, dl, n, av, term, count(*) tf FROM (SELECT doc_id, dl, n, av, unnest(ts) term FROM z) WHERE term IN ('the', 'with', 'from') GROUP BY ALL), q AS (SELECT *, count(*) OVER (PARTITION BY term) df FROM p),
+r AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score FROM q GROUP BY doc_id), c AS (SELECT * FROM r ORDER BY score DESC, doc_id LIMIT 50)
+SELECT doc_id AS "row", round(c.score, 6) AS bm25, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score FROM c JOIN embeddings ON vec_id = doc_id ORDER BY score DESC, "row" LIMIT 10""")
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = texts(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("row"), "text")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "embedding")
@@ -335,8 +343,12 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hybrid(R.bm25(d, "the with from").select("row", "score"), e, q, 10)
 
 
-@query()
+@query(rf"""WITH {NGRAMS}, k AS (SELECT doc_id, ngram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ngram) AS rank FROM c), y AS (SELECT doc_id, string_agg(ngram, ' ' ORDER BY rank) AS text FROM k WHERE rank <= 20 GROUP BY doc_id),
+u AS (SELECT d.doc_id, list_concat(d.ts[1:500], coalesce({_T.replace('text', 'y.text')}, [])) ts FROM (SELECT doc_id, {_T} ts FROM documents) d LEFT JOIN y USING (doc_id)), z AS (SELECT doc_id, ts, len(ts) dl, count(*) OVER () n, avg(len(ts)) OVER () av FROM u), p AS (SELECT doc_id, dl, n, av, term, count(*) tf FROM (SELECT doc_id, dl, n, av, unnest(ts) term FROM z) WHERE term IN ('apache', 'license') GROUP BY ALL),
+q AS (SELECT *, count(*) OVER (PARTITION BY term) df FROM p), r AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 4) AS score FROM q GROUP BY doc_id)
+SELECT doc_id, score, (SELECT count(*) FROM r) AS total_matches FROM r ORDER BY score DESC, doc_id LIMIT 10""")
 def search_corpus_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary cards (the head and the frequent n-grams) searched instead of whole texts."""
     s = K.summarize(line_blocks(spark, sf_dir))
     card = s.select("doc_id", F.lit(0).alias("row"), F.concat_ws(" ", "head", F.array_join(F.transform("top_ngrams", lambda x: x["ngram"]), " ")).alias("text"))
     return R.top(R.bm25(card, "apache license").select("doc_id", F.round("score", 4).alias("score")), 10, "doc_id")

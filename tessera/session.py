@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        # workers unpickle functions of this package by name; on a cluster ship it with --py-files
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH")])))
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("_", "."), v)
