@@ -263,6 +263,18 @@ def chunk_whole_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections_as_chunks(spark, sf_dir)
 
 
+_PROMOTED = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) body_index FROM documents),
+h AS (SELECT *, length(trim(t)) BETWEEN 1 AND 80 AND NOT regexp_matches(trim(t), '[.;,:]$') AND ((regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}')) OR regexp_extract(trim(t), '^(\d+(?:\.\d+)*)[.)]?\s+\S', 1) <> '') AS head FROM l),
+k AS (SELECT *, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY body_index ROWS UNBOUNDED PRECEDING) AS INTEGER) AS section FROM h)"""
+
+
+@query(f"{_PROMOTED} SELECT doc_id, section, 0 AS piece, min(body_index) AS first_block, max(body_index) AS last_block, string_agg(t, chr(10) || chr(10) ORDER BY body_index) AS text FROM k GROUP BY doc_id, section")
+def chunk_from_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without typed headings, chunked at those that look like one."""
+    lines = line_blocks(spark, sf_dir).select("doc_id", "body_index", "text")
+    return H.from_outline(lines, depth=6, most=0).drop("breadcrumb", "n_chars")
+
+
 @query(f"{_CHUNKS} SELECT DISTINCT doc_id, section, 0 AS piece, 'note ' || (body_index % 5) AS text FROM k WHERE body_index % 3 = 0 AND body_index % 5 < 4")
 def chunk_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = line_blocks(spark, sf_dir)

@@ -302,6 +302,17 @@ def test_cluster_labels(spark):
     assert {r.cluster_id: r["size"] for r in cluster.exemplars(t).collect()} == {0: 3, 1: 3}
 
 
+def test_chunks_by_tokens_and_outline(spark):
+    b = spark.createDataFrame([(1, i, "paragraph", None, "one two three. Four five six. Seven eight nine.") for i in range(3)] + [(1, 3, "codeblock", None, "x " * 30)], "doc_id long, body_index int, node_type string, heading_depth int, text string")
+    got = chunking.chunk(b, most=0, max_tokens=6).orderBy("piece").collect()
+    assert [len(r.text.split()) for r in got] == [6, 3, 6, 3, 6, 33]  # code joins the chunk before it
+    assert chunking.chunk(b, most=0).count() == 1 and chunking.chunk(b, most=0, max_tokens=100).count() == 1
+    assert chunking.chunk(b, most=0, max_tokens=6, count=lambda t: 1).count() == 1
+    lines = spark.createDataFrame([(1, 0, "INTRODUCTION"), (1, 1, "text one."), (1, 2, "1.2 Scope"), (1, 3, "text two.")], "doc_id long, body_index int, text string")
+    got = chunking.from_outline(lines).orderBy("section").collect()
+    assert [(r.first_block, r.last_block, r.breadcrumb) for r in got] == [(0, 1, "INTRODUCTION"), (2, 3, "INTRODUCTION > 1.2 Scope")]
+
+
 def test_chunk_packing():
     p, c = (0, "paragraph", "x" * 6), (1, "codeblock", "y" * 8)
     assert chunking.pack([p, c, (2, "paragraph", "zz")], 10) == [[p, c], [(2, "paragraph", "zz")]]
