@@ -6,10 +6,11 @@ step again and shared passages give the same chunks at any offset. A chunk of at
 which the corpus holds elsewhere, is removed everywhere but at its first occurrence (smallest doc_id, then first in
 the text).
 
-The digest of a chunk finds candidates, bytes decide: chunks are grouped by digest and text, with partial aggregation, so
-that a passage in millions of documents is one row a task before the shuffle. Should two different texts share a
-digest, none of them is removed. The removals are narrow rows; texts move once for the comparison and once, by id, to
-meet the removals of their document.
+The digest of a chunk finds candidates, bytes decide: digests of all chunks are counted first, 24 bytes a chunk; only chunks
+whose digest stands in two documents or more send their text, and texts of a digest are compared after partial
+aggregation, so that a passage in millions of documents is one row a task before the shuffle. Should two different
+texts share a digest, none of them is removed. Up to `BROADCAST` shared digests go to the tasks as a sorted table (24 bytes
+each), and no document is moved; beyond it texts and documents are joined with them by shuffles. Both ways give the same.
 
 Defined cases: null texts stay null, empty ones empty; a text of one line never changes; chunks of null doc_id count as
 last and are removed if any document with an id has them; rows that share a doc_id hold their chunks in common (each
@@ -27,15 +28,21 @@ keep their runs in common.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, md5
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import materialize, release, small_batches
+
 MEAN_LINES = 4
 MIN_LINES = 2
+#: Shared digests that are sent to every task.
+BROADCAST = 1_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -62,7 +69,22 @@ def _digest(chunk: str) -> bytes:
     return md5(chunk.encode(), usedforsecurity=False).digest()
 
 
-def _emit(with_text: bool, mean: int):  # noqa: ANN202
+class Shared:
+    """Digests that several documents hold, sorted, and the smallest id of each."""
+
+    def __init__(self, digests: list[bytes], first: np.ndarray) -> None:
+        keys = np.array(digests, "S16")
+        order = np.argsort(keys)
+        self.keys, self.first = keys[order], first[order]
+
+    def first_of(self, digest: bytes) -> int | None:
+        k = int(np.searchsorted(self.keys, np.bytes_(digest)))
+        return int(self.first[k]) if k < len(self.keys) and self.keys[k] == digest.rstrip(b"\0") else None
+
+
+def _emit(with_text: bool, mean: int, shared: Broadcast | None = None):  # noqa: ANN202
+    """(id, digest, text) of each chunk of a document, once; with `shared` of its chunks alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -72,31 +94,47 @@ def _emit(with_text: bool, mean: int):  # noqa: ANN202
                     for _, lines in chunks(text or "", mean):
                         if _multi(lines) and (d := _digest(c := "\n".join(lines))) not in seen:
                             seen.add(d)
+                            if shared is not None and shared.value.first_of(d) is None:
+                                continue
                             ids.append(doc)
                             digests.append(d)
-                            texts.append(c)
+                            if with_text:
+                                texts.append(c)
                 cols = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary())] + ([pa.array(texts, pa.string())] if with_text else [])
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "chunk"][: len(cols)])
 
     return run
 
 
-def _cut(mean: int):  # noqa: ANN202
+def _without(text: str, mean: int, gone: Callable[[bytes], bool]) -> tuple[str, int]:
+    """The text without chunks that are gone or stand in it before, and how many lines went."""
+    seen, kept, n = set(), [], 0
+    for _, lines in chunks(text, mean):
+        if _multi(lines):
+            d = _digest("\n".join(lines))
+            if d in seen or gone(d):
+                n += len(lines)
+                continue
+            seen.add(d)
+        kept += lines
+    return ("\n".join(kept) if n else text), n
+
+
+def _cut(mean: int, shared: Broadcast | None = None):  # noqa: ANN202
+    """Texts without their removed chunks: those listed in `__gone`, or those of `shared` that a smaller id has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, g = batch.schema.get_field_index("text"), batch.schema.get_field_index("__gone")
             texts, counts = [], []
-            for text, gone in zip(batch.column(k).to_pylist(), batch.column(g).to_pylist(), strict=True):
-                gone, seen, kept, n = set(gone or ()), set(), [], 0
-                for _, lines in chunks(text, mean) if text is not None else ():
-                    if _multi(lines):
-                        d = _digest("\n".join(lines))
-                        if d in gone or d in seen:
-                            n += len(lines)
-                            continue
-                        seen.add(d)
-                    kept += lines
-                texts.append(None if text is None else "\n".join(kept) if n else text)
+            for text, mark in zip(batch.column(k).to_pylist(), batch.column(g).to_pylist(), strict=True):
+                if shared is None:
+                    held = set(mark or ())
+                    gone = held.__contains__
+                else:
+                    gone = lambda d, mark=mark: (f := shared.value.first_of(d)) is not None and mark > f
+                text, n = (None, 0) if text is None else _without(text, mean, gone)
+                texts.append(text)
                 counts.append(n)
             cols = [pa.array(texts, pa.string()) if i == k else pa.array(counts, pa.int32()) if i == g else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=[n if n != "__gone" else "removed_lines" for n in batch.schema.names])
@@ -104,17 +142,36 @@ def _cut(mean: int):  # noqa: ANN202
     return run
 
 
+def _sent(shared: DataFrame) -> Broadcast:
+    """(digest, first) rows, counted before, as a table for every task."""
+    rows = shared.select("digest", "first").toArrow()
+    return shared.sparkSession.sparkContext.broadcast(Shared(rows.column("digest").to_pylist(), rows.column("first").to_numpy()))
+
+
 def line_dedup(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """The documents with repeated multi-line chunks cut out, and removed_lines."""
     docs = docs.drop("removed_lines")
-    key = F.coalesce(docs["doc_id"], F.lit(_LAST)).alias("id")
-    slim = docs.select(key, "text")
-    held = slim.mapInArrow(_emit(True, mean), "id long, digest binary, chunk string").groupBy("digest", "chunk").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = held.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n")).where("texts = 1 AND n > 1").select("digest", "first")
-    gone = slim.mapInArrow(_emit(False, mean), "id long, digest binary").join(shared, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("__gone"))
+    small_batches(docs.sparkSession)
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
+    slim = docs.select(key.alias("id"), "text")
+    digests = slim.mapInArrow(_emit(False, mean), "id long, digest binary")
+    often = materialize(digests.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "digests")
+    few = often.count() <= BROADCAST
+    if few:
+        texts = slim.mapInArrow(_emit(True, mean, _sent(often)), "id long, digest binary, chunk string")
+    else:
+        texts = slim.mapInArrow(_emit(True, mean), "id long, digest binary, chunk string").join(often.select("digest"), "digest")
+    # one text a digest: bytes are equal; repeated rows of an id count as in `often`
+    held = texts.groupBy("digest", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    same = held.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("digest")
+    shared = materialize(often.join(same, "digest").select("digest", "first"), "shared")
+    release(often)
     fields = [f for f in docs.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", removed_lines int"
-    met = docs.withColumn("__id", F.coalesce(docs["doc_id"], F.lit(_LAST))).join(gone.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    if few:
+        return docs.withColumn("__gone", key).mapInArrow(_cut(mean, _sent(shared)), schema)
+    gone = digests.join(shared, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("__gone"))
+    met = docs.withColumn("__id", key).join(gone.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
     return met.mapInArrow(_cut(mean), schema)
 
 
@@ -200,4 +257,10 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.text, '') EN
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, sum(n) FILTER (WHERE gone) AS m FROM f GROUP BY doc_id) x USING (doc_id)"""
 
 QUERIES = {"op7_line_chunks": query, "op7_repeated_lines": query_repeated}
-SQL = {"op7_line_chunks": SQL_TEXT}
+SQL_REPEATED = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) ls FROM documents), l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM d), f AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) j FROM l WHERE trim(ls[i]) <> ''),
+s AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(ls[i:j], chr(10)) ORDER BY doc_id, i) > 1 AS gone FROM f WHERE j IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) i FROM s WHERE gone), k AS (SELECT l.doc_id, string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS m FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.m, 0) AS INTEGER) AS removed_lines FROM d LEFT JOIN k USING (doc_id)"""
+
+SQL = {"op7_line_chunks": SQL_TEXT, "op7_repeated_lines": SQL_REPEATED}

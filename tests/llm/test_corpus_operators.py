@@ -473,7 +473,10 @@ def brute_lines(texts):
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, most):
+    """With the shared digests sent to the tasks, and joined."""
+    monkeypatch.setattr(line_dedup, "BROADCAST", most)
     rng = random.Random(7)
     block = [prose(rng, 8) for _ in range(30)]
     texts = []
@@ -494,6 +497,13 @@ def test_bounds_fall_into_step_after_an_insertion():
     assert len(a & b) >= len(a) - 3
 
 
+def test_digests_are_found_whatever_their_last_bytes():
+    keys = [b"a" * 15 + b"\0", b"a" * 14 + b"\0\0", b"z" * 16, b"\0" * 16]
+    held = line_dedup.Shared(keys, np.array([1, 2, 3, 4]))
+    assert [held.first_of(k) for k in keys] == [1, 2, 3, 4] and held.first_of(b"b" * 16) is None
+    assert line_dedup.Shared([], np.zeros(0, np.int64)).first_of(b"a" * 16) is None
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = line_dedup.line_dedup(odd.withColumn("removed_lines", F.lit("clash")))
     assert got.columns == [*odd.columns, "removed_lines"] and got.count() == 9
@@ -548,6 +558,18 @@ def test_repeated_lines_of_odd_rows(spark, odd, nothing):
 # 8 URL filter
 
 
+def test_url_vocabulary_from_a_table(spark):
+    rows = [("Casino", 3, True), ("casino", 9, False), (" bonus ", None, None), (None, 1, True), ("", 1, True)]
+    terms = spark.createDataFrame(rows, "term string, weight int, strict boolean")
+    assert url_filter.vocabulary(terms) == ({"casino": 9}, {"bonus": 1})
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(terms, 1)
+    long = "http://x.example/" + "a/" * 200_000 + "casino"
+    pages = spark.createDataFrame([(None, long), (1, long), (1, long), (2, None), (3, "")], "page_id long, url string")
+    got = url_filter.url_filter(pages, strict={"casino": 9}, soft={}).collect()
+    assert sorted(str((r.page_id, r.rejected)) for r in got) == sorted(["(None, True)", "(1, True)", "(1, True)", "(2, False)", "(3, False)"])
+
+
 def test_urls_match_brute_force(spark):
     import re
 
@@ -779,15 +801,6 @@ def test_classes_and_links_lose_nothing(spark, monkeypatch, grams):
     assert got == {i: (root[i], links[i]) for i in range(len(texts))}
 
 
-def test_jaccard_sql(spark):
-    import duckdb
-
-    c = duckdb.connect()
-    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    want = {a: (b, n) for a, b, n in c.sql(f"SELECT doc_id, class_id, links FROM ({jaccard_join.CLASSES_SQL})").fetchall()}
-    assert {r.doc_id: (r.class_id, r.links) for r in jaccard_join.query(spark, "/root/testdata/sf0.001").collect()} == want
-
-
 def test_jaccard_of_odd_rows(spark, odd, nothing):
     assert jaccard_join.jaccard_join(odd).count() == 0
     # of the repeated row one stays
@@ -819,7 +832,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     bad = {i for i, t in enumerate(texts) if t and "moron" in t}
     spark.createDataFrame([(i, 1, int(i in bad)) for i in range(len(texts)) if i % 2 == 0 or i in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r.shard for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    from tessera import session
+
+    before = session.made()
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r.doc_id: r.shard for r in result.collect()}
+    assert len(session.made() - before) == 1  # the mix, which the result reads
 
     left = [i for i in range(len(texts)) if i not in bad]
     root = {i: i for i in left}
@@ -849,3 +867,17 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
         got = stage(spark, odd, str(tmp_path))
         assert got.columns == odd.columns and (k == 3 or got.count() == (8 if k == 1 else 9))
         assert stage(spark, odd.where("doc_id = -1"), str(tmp_path)).count() == 0
+
+
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from tessera.llm import registry
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in registry.SQL.items():
+        df, want = registry.QUERIES[name](spark, "/root/testdata/sf0.001"), c.sql(sql)
+        assert sorted(df.columns) == sorted(want.columns), name
+        assert sorted(map(str, df.select(*want.columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want.df().itertuples(index=False, name=None))), name
