@@ -4,8 +4,12 @@ The lower-cased URL is scanned once for all terms. A hit counts only where it is
 the URL or by a character other than a-z and 0-9. One strict term rejects; so do `MIN_SOFT` distinct soft terms. A
 term's weight enters `score`, the sum over the distinct terms hit.
 
-Defined cases: a null or empty URL has no hits, score 0 and stays; a term hit many times counts once; every row has one
-result row, repeated rows and null ids too; other columns are never read. A projection: no shuffle.
+The lists here are a small default; a deployment brings its own as a table of (term, weight, strict), see `vocabulary`. The
+automaton travels with the task, so a vocabulary of over `MOST_TERMS` terms is refused.
+
+Defined cases: a null or empty URL has no hits, score 0 and stays; a term hit many times counts once; a URL of any length is
+scanned whole; every row has one result row, repeated rows and null ids too; an empty table gives an empty result;
+other columns are never read, those called as a result are replaced. A projection: no shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +22,22 @@ from pyspark.sql import functions as F
 STRICT = {t: 10 for t in ("adult", "bdsm", "casino", "cialis", "escort", "hardcore", "hentai", "malware", "nude", "phishing", "porn", "sex", "spam", "viagra", "warez", "xxx")}
 SOFT = {"ads": 1, "affiliate": 1, "bet": 1, "bonus": 1, "buy": 1, "cam": 1, "cheap": 2, "click": 1, "coupon": 1, "dating": 2, "deal": 1, "farm": 1, "free": 1, "hot": 1, "loan": 2, "pill": 2, "pills": 2, "poker": 2, "popup": 1, "promo": 1, "slots": 2, "track": 1, "tracker": 1, "win": 1}
 MIN_SOFT = 2
+MOST_TERMS = 1_000_000
 _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+def vocabulary(terms: DataFrame, most: int | None = None) -> tuple[dict[str, int], dict[str, int]]:
+    """(strict, soft) of a table (term, weight, strict): terms are folded, null and empty ones dropped, of a repeated term the largest
+    weight stays, a term that is strict once is strict."""
+    most = MOST_TERMS if most is None else most
+    t = F.lower(F.trim("term"))
+    kept = terms.select(t.alias("t"), F.coalesce("weight", F.lit(1)).cast("int").alias("w"), F.coalesce("strict", F.lit(False)).alias("s")).where("t <> ''")
+    rows = kept.groupBy("t").agg(F.max("w").alias("w"), F.max("s").alias("s")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} terms")
+    return {r.t: r.w for r in rows if r.s}, {r.t: r.w for r in rows if not r.s}
+
+
 def automaton(terms: dict[str, int]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for t in terms:
