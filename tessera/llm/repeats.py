@@ -316,4 +316,12 @@ k AS (SELECT *, sum(CASE WHEN i - p <= {WORDS} THEN 0 ELSE 1 END) OVER (PARTITIO
 SELECT doc_id, min(i) - 1 AS from_word, max(i) - 1 + {WORDS} AS to_word, max(i) - min(i) + {WORDS} AS n_words FROM k GROUP BY doc_id, k"""
 
 QUERIES = {"op4_suffix_repeats": query, "op4_remove_repeats": query_removed}
-SQL = {"op4_suffix_repeats": SQL_TEXT}
+_WHITE = r"[ \t\n\r\f\x0B]"
+SQL_REMOVED = f"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{tk.WORD}') ws, regexp_extract_all(text, '{tk.WORD}{_WHITE}*') ps FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {WORDS - 1}], ' ')) h FROM w, LATERAL (SELECT unnest(range(1, len(ws) - {WORDS - 2})) AS i)),
+o AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) m FROM g) WHERE m < doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WORDS})) i FROM o), p AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) i, unnest(ps) piece, len(ps) n FROM w),
+k AS (SELECT p.doc_id, string_agg(CASE WHEN x.i IS NULL THEN piece WHEN p.i = n THEN regexp_extract(piece, '{_WHITE}*$') ELSE '' END, '' ORDER BY p.i) AS t, count(x.i) AS m FROM p LEFT JOIN x ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(k.m, 0) = 0 THEN d.text ELSE regexp_extract(d.text, '^{_WHITE}*') || k.t END AS text, d.lang, d.source, d.n_chars, coalesce(k.m, 0) AS removed_words FROM documents d LEFT JOIN k USING (doc_id)"""
+SQL = {"op4_suffix_repeats": SQL_TEXT, "op4_remove_repeats": SQL_REMOVED}
