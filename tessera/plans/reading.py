@@ -452,6 +452,38 @@ def revision_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.by_type(_changes(spark, sf_dir), "del").select("event_id")
 
 
+# labels, hints, links
+
+
+@query(r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS body_index, unnest(string_split(text, chr(10))) AS x FROM documents),
+t AS (SELECT doc_id, body_index, trim(CASE body_index % 9 WHEN 3 THEN '- ' || x WHEN 4 THEN '| ' || x || ' |' WHEN 5 THEN 'Section ' || body_index WHEN 6 THEN '## ' || x WHEN 7 THEN 'Exhibit B' ELSE x END) AS t FROM l),
+f AS (SELECT *, length(t) BETWEEN 1 AND 80 AND NOT regexp_matches(t, '[.;,:]$') AS short FROM t)
+SELECT doc_id, body_index, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^#{1,6}\s') THEN 'heading'
+WHEN short AND (regexp_matches(t, '(?i)^(article|part|chapter)\s+([ivxlc]+|\d+)\b') OR regexp_matches(t, '(?i)^(section|§)\s*\d+') OR regexp_matches(t, '(?i)^(exhibit|schedule|appendix|annex)\s+\w+')) THEN 'heading'
+WHEN short AND regexp_matches(t, '^(\d+(?:\.\d+)*)[.)]?\s+\S') THEN 'numbered_heading' WHEN short AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') THEN 'title'
+WHEN regexp_matches(t, '^([-*•]|\([a-z0-9]+\))\s') THEN 'list_item' WHEN regexp_matches(t, '^\|.*\|$') THEN 'table_row' ELSE 'body' END AS label FROM f""".replace("\\\\", "\\"))
+def annotate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for each line, some of them made into items, rows, sections, marked headings and exhibits."""
+    x, i = F.col("text"), F.col("body_index") % 9
+    made = F.when(i == 3, F.concat(F.lit("- "), x)).when(i == 4, F.concat(F.lit("| "), x, F.lit(" |"))).when(i == 5, F.concat(F.lit("Section "), "body_index")).when(i == 6, F.concat(F.lit("## "), x)).when(i == 7, "Exhibit B").otherwise(x)
+    return V.infer_headings(line_blocks(spark, sf_dir).select("doc_id", "body_index", made.alias("text"))).select("doc_id", "body_index", "label")
+
+
+@query("SELECT page_id, n, CASE WHEN n IN (1, 5) THEN CASE n WHEN 1 THEN url ELSE '#top' END ELSE '#' END AS url FROM pages, range(1, 8) r(n)")
+def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts and data, also behind entities, percent codes, blanks and capitals, lead nowhere."""
+    forms = ["javascript:alert(1)", " JaVa\tscript:x", "data:text/html,x", "#top", "&#106;avascript:x", "javascript%3Ax"]
+    urls = F.array(F.col("url"), *[F.lit(f) for f in forms])
+    p = texts(spark, sf_dir, "pages").select("page_id", F.posexplode(urls).alias("n", "u"))
+    return p.select("page_id", (F.col("n") + 1).cast("long").alias("n"), X.safe_url(F.col("u")).alias("url"))
+
+
+@query("SELECT doc_id, lang AS a, 'c++' AS b, CAST(NULL AS VARCHAR) AS c FROM documents")
+def language_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.language_hint(F.concat(F.lit("wide language-"), "lang")).alias("a"), X.language_hint(F.lit("highlight-c++ x")).alias("b"), X.language_hint(F.lit("plain")).alias("c"))
+
+
 # the SQL facade
 
 
