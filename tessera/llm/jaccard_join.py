@@ -3,19 +3,22 @@
 A document is the set of its runs of `N` words (all its words, if there are fewer); sets with |A & B| / |A | B| >=
 `THRESHOLD` are linked. Documents with equal sets are collapsed first, to one node with a 128-bit fingerprint. Then
 
-1. a 108-value min-hash signature in 36 bands of 3 gives each set 36 band tokens. Tokens that one set only has are dropped,
-   and with them the sets that can't have a partner;
-2. similar sets are partitioned into groups: a set goes with the fullest of its bands; groups of more than
+1. n-grams are counted by sets, in hashed buckets of about `BUCKET_GRAMS`, and put in one order for all: rare ones first. Of a
+   set of n, at least c = ceil(THRESHOLD n) must be shared with a partner, so the least n-gram that two similar sets share
+   is among the first n - c + 1 of both (prefix filter): those are the set's tokens. N-grams of one set only can't be
+   shared and come first, so a set with fewer than c others has no token and no partner, and goes;
+2. sets with a token in common are partitioned into groups: a set goes with the fullest of its tokens; groups of more than
    `GROUP_GRAMS` n-grams are cut by a hash, so a group's memory is bounded, whatever the texts' length, while nothing is
    left out;
-3. the token-group matrix holds each group's union of band tokens, one row a (token, group) however many members
+3. the token-group matrix holds each group's union of tokens, one row a (token, group) however many members
    have it. A set is sent as a query to the groups whose row meets its tokens (of two groups one asks the other);
 4. where a group and its queries meet, the group's union of n-grams bounds the overlap of a query with any member:
    |Q & union| >= THRESHOLD |Q| or the group stays closed. In open groups the overlap with each member is counted exactly.
 
-So precision is 1; a pair at the threshold shares no band with probability below 0.01, at 0.6 below 0.0002. Signatures
-and tokens are narrow. Texts of sets with a possible partner are moved once, by id; n-grams travel only to groups
-that may open. A passage that many documents share doesn't make them candidates: three min-hashes must agree.
+So no pair at or above the threshold is left out and none below it gets in, but for equal 64-bit hashes of different words.
+N-grams travel packed: once to be counted, those that several sets have once more to the sets' tokens. Texts of sets with
+a possible partner are moved once, by id, and their n-grams only to groups that may open. A passage that many documents
+share doesn't make them candidates, unless it is most of what a document shares with any.
 
 Every link between different texts is counted, but none is written out as a pair: a group returns a sum of links a set and
 a spanning forest of the links it saw, at most an edge a member and a query. So the result is as long as the corpus,
@@ -45,15 +48,14 @@ from tessera.session import broadcast_if_small, materialize, release, small_batc
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 36, 3
 #: N-grams of a group's members together, about: 8 bytes each where they meet.
 GROUP_GRAMS = 1 << 19
+#: N-grams that are counted, or ordered for their sets, at a time, about; and those that a task holds before it sends them.
+BUCKET_GRAMS = 1 << 19
+SENT_GRAMS = 1 << 18
 
-_rng = np.random.default_rng(60)
-_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_SALT = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-_BLOCK = 1 << 14
+_SALT = np.random.default_rng(60).integers(0, 1 << 63, dtype=np.uint64)
+_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -73,34 +75,169 @@ def gram_sets(texts: pa.Array, n: int = N) -> Iterator[np.ndarray]:
 def fingerprint(grams: np.ndarray) -> bytes:
     """128 bits of a set."""
     a = np.add.reduce(tk.mix(grams), dtype=np.uint64)
-    b = np.add.reduce(tk.mix(grams ^ _SALT[0]), dtype=np.uint64)
+    b = np.add.reduce(tk.mix(grams ^ _SALT), dtype=np.uint64)
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def band_tokens(grams: np.ndarray) -> np.ndarray:
-    least = None
-    for at in range(0, len(grams), _BLOCK):
-        m = ((grams[at : at + _BLOCK, None] ^ _XOR) * _MUL).min(axis=0)
-        least = m if least is None else np.minimum(least, m)
-    h = _SALT.copy()
-    for r in range(ROWS):
-        h = tk.mix(h * np.uint64(31) + least[r::ROWS])
-    return h
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
-            rows, nodes, sizes, tokens = [], [], [], []
+            rows, nodes, sizes, lows = [], [], [], []
             for i, g in enumerate(gram_sets(part.column("text"))):
                 if len(g):
                     rows.append(i)
                     nodes.append(fingerprint(g))
                     sizes.append(len(g))
-                    tokens.append(band_tokens(g))
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            cols = [*(part.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "row")), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), tk.lists(tk.signed(flat), np.full(len(rows), BANDS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "node", "size", "tokens"])
+                    lows.append(len(np.unique(g.astype(np.uint32))))
+            cols = [*(part.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "row")), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "node", "size", "low"])
+
+
+# A token is an n-gram's bucket and the lower half of its hash, a key the first half of a set's fingerprint. Packed rows
+# hold the tokens of one part, sorted by key: each key once, with its number of tokens.
+_PACKED = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
+_SHARED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("sets", pa.binary())])
+_TOKENS = pa.schema([("node", pa.binary()), ("size", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _pack(part: np.ndarray, key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Part, keys, counts and values of rows sorted by part and key."""
+    first = starts(part)
+    cuts, runs = np.append(first, len(part)), starts(part, key)
+    at = np.searchsorted(runs, cuts)
+    counts = np.diff(np.append(runs, len(part))).astype(np.uint32)
+    return [pa.array(part[first].astype(np.int64)), _blobs(key[runs], at), _blobs(counts, at), *(_blobs(v, cuts) for v in values)]
+
+
+def _keys(keys: list[bytes], counts: list[bytes]) -> np.ndarray:
+    return np.repeat(np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32))
+
+
+def _scatter(buckets: int):  # noqa: ANN202
+    """All n-grams by bucket."""
+
+    def packed(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        grams = np.concatenate(sets)
+        bucket = ((grams >> _HIGH) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        key = np.repeat(np.array(keys, np.uint64), [len(g) for g in sets])
+        return pa.RecordBatch.from_arrays(_pack(bucket[order], key[order], grams.astype(np.uint32)[order]), schema=_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets, held = [], [], 0
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                for g in gram_sets(part.column("text")):
+                    if not len(g):
+                        continue
+                    keys.append(int.from_bytes(fingerprint(g)[:8], "big"))
+                    sets.append(g)
+                    held += len(g)
+                    if held >= SENT_GRAMS:
+                        yield packed(keys, sets)
+                        keys, sets, held = [], [], 0
+        if sets:
+            yield packed(keys, sets)
+
+    return run
+
+
+def _shared(parts: int):  # noqa: ANN202
+    """Tokens that several sets have, by part of the sets, with the number of sets (up to 65,535: it only orders)."""
+
+    def of_bucket(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, counts, tokens = zip(*rows, strict=True)
+        token = np.frombuffer(b"".join(tokens), np.uint32)
+        order = np.argsort(token)
+        again = token[order[1:]] == token[order[:-1]]
+        held = np.zeros(len(token), bool)
+        held[1:] |= again
+        held[:-1] |= again
+        order = order[held]
+        if not len(order):
+            return
+        token, key = token[order], _keys(keys, counts)[order]
+        order = np.lexsort((key, token))
+        token, key = token[order], key[order]
+        one = starts(token, key)  # a set may stand in many documents
+        token, key = token[one], key[one]
+        sets = np.diff(np.append(starts(token), len(token)))
+        sets = np.repeat(sets, sets)
+        token, key, sets = token[sets > 1], key[sets > 1], sets[sets > 1]
+        if not len(token):
+            return
+        part = key % np.uint64(parts)
+        order = np.lexsort((key, part))
+        cols = _pack(part[order], key[order], token[order], np.minimum(sets[order], 65535).astype(np.uint16))
+        yield pa.RecordBatch.from_arrays([cols[0], pa.array(np.full(len(cols[0]), bucket)), *cols[1:]], schema=_SHARED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    if rows:
+                        yield from of_bucket(now, rows)
+                    now, rows = bucket, []
+                rows.append(row)
+        if rows:
+            yield from of_bucket(now, rows)
+
+    return run
+
+
+def _prefix(threshold: float):  # noqa: ANN202
+    """The tokens of each set of a part: rows with a size are the sets, the others their tokens by bucket."""
+
+    def of_part(sets: list[tuple], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        buckets, keys, counts, tokens, times = zip(*rows, strict=True)
+        key = _keys(keys, counts)
+        token = np.frombuffer(b"".join(tokens), np.uint32).astype(np.int64)
+        token |= np.repeat(np.array(buckets, np.int64) << 32, [len(t) // 4 for t in tokens])
+        order = np.lexsort((token, np.frombuffer(b"".join(times), np.uint16), key))
+        key, token = key[order], token[order]
+        runs = starts(key)
+        ends = np.append(runs[1:], len(key))
+        known = key[runs]
+        nodes, size, low = zip(*sets, strict=True)
+        size, low = np.array(size, np.int64), np.array(low, np.int64)
+        own = np.array([int.from_bytes(n[:8], "big") for n in nodes], np.uint64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        # n-grams of a set may be one token, at most `size - low` times: as many tokens more
+        most = (ends - runs)[at] - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 + size - low
+        most = np.where(known[at] == own, np.minimum(most, (ends - runs)[at]), 0)
+        stay = np.flatnonzero(most > 0)
+        lengths = most[stay]
+        place = np.repeat(runs[at[stay]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in stay], pa.binary()), pa.array(size[stay].astype(np.int32)), tk.lists(pa.array(token[place]), lengths)], schema=_TOKENS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, rows = None, [], []
+        for batch in batches:
+            for part, node, size, low, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if sets and rows:
+                        yield from of_part(sets, rows)
+                    now, sets, rows = part, [], []
+                if node is not None:
+                    sets.append((node, size, low))
+                else:
+                    rows.append(row)
+        if sets and rows:
+            yield from of_part(sets, rows)
+
+    return run
 
 
 _SENT = "gid long, role int, node binary, weight long, grams binary"
@@ -147,7 +284,7 @@ class Group:
         """Members with at least the threshold, and their Jaccard similarity."""
         k = np.minimum(np.searchsorted(self.union, g), len(self.union) - 1)
         k = k[self.union[k] == g]
-        if len(k) < threshold * len(g):
+        if len(k) < threshold * len(g) - 1e-9:
             return np.zeros(0, np.int64), np.zeros(0)
         times = self.upto[k] - self.first[k]
         at = np.repeat(self.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
@@ -245,20 +382,36 @@ def row_key(docs: DataFrame) -> Column:
 
 def signatures(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return _rows(docs).where("text IS NOT NULL").mapInArrow(_sign, "id long, row long, node binary, size int, tokens array<long>")
+    return _rows(docs).where("text IS NOT NULL").mapInArrow(_sign, "id long, row long, node binary, size int, low int")
+
+
+def tokens(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """node, size and tokens of every set that can have a partner: any two at or above the threshold have a token in common."""
+    grams = signed.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    parts = grams // BUCKET_GRAMS + 1
+    packed = docs.select("text").where("text IS NOT NULL").mapInArrow(_scatter(parts), "part long, keys binary, counts binary, tokens binary")
+    shared = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared(parts), "part long, bucket long, keys binary, counts binary, tokens binary, sets binary")
+    # the key is unsigned: its upper and lower half by themselves
+    upper, lower = (F.conv(F.hex(F.substring("node", i, 4)), 16, 10).cast("long") for i in (1, 5))
+    part = F.pmod(F.pmod(upper, F.lit(parts)) * ((1 << 32) % parts) + lower, F.lit(parts))
+    sets = signed.groupBy("node").agg(F.first("size").alias("size"), F.first("low").alias("low"))
+    rows = sets.select(part.cast("long").alias("part"), "node", "size", "low").unionByName(shared, allowMissingColumns=True)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_prefix(threshold), "node binary, size int, tokens array<long>")
 
 
 def link(docs: DataFrame, signed: DataFrame, threshold: float, pairs: bool = False) -> DataFrame:
     """What the groups find, see `_open`; a, b are nodes. Kept in the shared folder."""
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    sets = signed.groupBy("node").agg(F.min(at).alias("at"), F.first("tokens").alias("tokens"), F.first("size").alias("size"))
+    sets = signed.groupBy("node").agg(F.min(at).alias("at"))
     copies = signed.select("node", "id").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
 
-    cells = sets.select("node", "size", F.explode("tokens").alias("token"))
+    prefixes = materialize(tokens(docs, signed, threshold), "tokens")
+    cells = prefixes.select("node", "size", F.explode("tokens").alias("token"))
     full = cells.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("grams")).where("sets > 1")
     own = cells.join(full, "token").groupBy("node").agg(F.max(F.struct("sets", "token", "grams")).alias("top"), F.collect_set("token").alias("tokens"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.grams") / GROUP_GRAMS))
     own = materialize(own.select("node", "tokens", F.xxhash64("top.token", part).alias("gid")), "groups")
+    release(prefixes)
     matrix = own.select(F.explode("tokens").alias("token"), F.col("gid").alias("to")).distinct()
     asked = own.select("node", "gid", F.explode("tokens").alias("token")).join(matrix, "token").where("to > gid")
     targets = asked.groupBy("node").agg(F.collect_set("to").alias("targets"))

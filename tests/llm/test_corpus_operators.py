@@ -801,6 +801,37 @@ def test_classes_and_links_lose_nothing(spark, monkeypatch, grams):
     assert got == {i: (root[i], links[i]) for i in range(len(texts))}
 
 
+def test_pairs_at_the_threshold_are_all_found(spark, monkeypatch):
+    """20 of 30 3-grams shared, so Jaccard is 20 / 40; over several buckets of n-grams."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_GRAMS", 10_000)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(2000):
+        both = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(22)]
+        texts += [" ".join(both + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(10)]) for _ in range(2)]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(4000)}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.55, 0.8])
+def test_pairs_by_prefixes_lose_nothing(spark, monkeypatch, threshold):
+    monkeypatch.setattr(jaccard_join, "BUCKET_GRAMS", 300)
+    rng = random.Random(17)
+    texts = mutants(rng, 30, 6) + [prose(random.Random(5), 20) + " " + prose(rng, rng.randint(1, 40)) for _ in range(30)] + ["a b", "A  b", None, ""]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.jaccard_join(docs_of(spark, texts), threshold).collect()}
+    assert got == brute_pairs(texts, threshold)
+
+
+def test_prefix_grows_where_ngrams_fall_together():
+    """Of 6 n-grams in 5 tokens, all shared, 3 must be shared: 5 - 3 + 1 tokens and one more, the rarest first."""
+    key, none = bytes(8), [None] * 4
+    counts, tokens, sets = (np.array(v, t).tobytes() for v, t in (([5], np.uint32), ([1, 2, 3, 4, 5], np.uint32), ([9, 2, 3, 2, 8], np.uint16)))
+    schema = pa.schema([("part", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("low", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("sets", pa.binary())])
+    rows = [(0, bytes(16), 6, 5, None, *none), (0, None, None, None, 1, key, counts, tokens, sets)]
+    (got,) = jaccard_join._prefix(0.5)(iter([pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)]))
+    assert got.column("tokens").to_pylist() == [[(1 << 32) + t for t in (2, 4, 3, 5)]]
+
+
 def test_jaccard_of_odd_rows(spark, odd, nothing):
     assert jaccard_join.jaccard_join(odd).count() == 0
     # of the repeated row one stays
