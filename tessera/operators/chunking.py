@@ -94,6 +94,6 @@ def chunk(
     return chunks.join(path, ["doc_id", "first_block"])
 
 
-def from_outline(lines: DataFrame, **how: object) -> DataFrame:
+def from_outline(lines: DataFrame, flat: bool = False, **how: object) -> DataFrame:
     """Chunks of plain lines (doc_id, body_index, text) that have no headings yet: those that look like one are promoted first."""
-    return chunk(infer_headings(lines).select("doc_id", "body_index", "node_type", "heading_depth", "text"), breadcrumbs=True, **how)
+    return chunk(infer_headings(lines, flat).select("doc_id", "body_index", "node_type", "heading_depth", "text"), breadcrumbs=True, **how)

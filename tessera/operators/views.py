@@ -124,14 +124,21 @@ def outline(blocks: DataFrame) -> DataFrame:
     return blocks.where("node_type = 'heading'").select("doc_id", "body_index", F.col("heading_depth").alias("depth"), F.col("text").alias("title"))
 
 
-def infer_headings(lines: DataFrame) -> DataFrame:
-    """Label lines (doc_id, body_index, text) and promote headings: depth by ATX marks, else keywords, else numbering, else 1."""
+#: A line with an ATX mark.
+MARKED = r"^#{1,6}\s"
+
+
+def infer_headings(lines: DataFrame, flat: bool = False) -> DataFrame:
+    """Label lines (doc_id, body_index, text) and promote headings: depth by ATX marks, else keywords, else numbering, else 1.
+
+    flat: only capitals and numbering promote, all to depth 1; marks and keywords mean nothing.
+    """
     t = F.trim("text")
-    atx = F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1))
+    atx = F.lit(0) if flat else F.length(F.regexp_extract(t, r"^(#{1,6})\s", 1))
     numeric = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)[.)]?\s+\S", 1)
-    level = F.size(F.split(numeric, r"\."))
-    keyword = F.when(t.rlike(r"(?i)^(article|part|chapter)\s+([ivxlc]+|\d+)\b"), 1).when(t.rlike(r"(?i)^(section|§)\s*\d+"), 2).when(t.rlike(r"(?i)^(exhibit|schedule|appendix|annex)\s+\w+"), 1)
-    short = (F.length(t) <= 80) & (F.length(t) > 0) & ~t.rlike(r"[.;,:]$")
+    level = F.lit(1) if flat else F.size(F.split(numeric, r"\."))
+    keyword = F.lit(None).cast("int") if flat else F.when(t.rlike(r"(?i)^(article|part|chapter)\s+([ivxlc]+|\d+)\b"), 1).when(t.rlike(r"(?i)^(section|§)\s*\d+"), 2).when(t.rlike(r"(?i)^(exhibit|schedule|appendix|annex)\s+\w+"), 1)
+    short = (F.length(t) <= 80) & (F.length(t) > 0) & ~t.rlike(r"[.;,:]\z")  # $ would also match before a carriage return
     caps = short & t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
     label = (
         F.when(t == "", "blank").when(atx > 0, "heading").when(keyword.isNotNull() & short, "heading").when((numeric != "") & short, "numbered_heading").when(caps, "title")
