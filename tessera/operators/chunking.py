@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import sentence_spans
 from tessera.operators.views import heading_path, infer_headings
+from tessera.session import small_batches
 
 SOLID = frozenset(("table", "codeblock", "math_block"))
 OUT = "doc_id long, section int, piece int, first_block int, last_block int, text string, n_chars int"
+#: Sections that are Python objects at once.
+SLICE = 64
 
 
 def words(text: str) -> int:
@@ -69,22 +72,24 @@ def chunk(
 
     max_tokens: chunks that `count` finds longer are packed again by tokens; the cheap bound on characters goes first.
     """
+    small_batches(blocks.sparkSession, 1 << 20)
     w = Window.partitionBy("doc_id").orderBy("body_index").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.when((F.col("node_type") == "heading") & (F.col("heading_depth") <= depth), 1).otherwise(0)
     got = blocks.withColumn("section", F.sum(opens).over(w).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, section, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = pack([(b["body_index"], b["node_type"], b["text"] or "") for b in blocks], most, overlap)
-                if max_tokens:
-                    parts = [q for p in parts for q in pack(p, max_tokens, overlap, count)]
-                for k, part in enumerate(parts):
-                    rows.append((doc, section, k, part[0][0], part[-1][0], "\n\n".join(t for _, _, t in part), sum(len(t) for _, _, t in part)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
+            for at in range(0, batch.num_rows, SLICE):
+                rows = []
+                for doc, section, blocks in zip(*(c.slice(at, SLICE).to_pylist() for c in batch.columns), strict=True):
+                    parts = pack([(b["body_index"], b["node_type"], b["text"] or "") for b in blocks], most, overlap)
+                    if max_tokens:
+                        parts = [q for p in parts for q in pack(p, max_tokens, overlap, count)]
+                    for k, part in enumerate(parts):
+                        rows.append((doc, section, k, part[0][0], part[-1][0], "\n\n".join(t for _, _, t in part), sum(len(t) for _, _, t in part)))
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
     ordered = F.array_sort(F.collect_list(F.struct("body_index", "node_type", "text")))
     chunks = got.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "section").agg(ordered.alias("blocks")).mapInArrow(run, OUT)
