@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize, small_batches
+
 
 def cluster_1d(values: DataFrame, tolerance: float, *by: str) -> DataFrame:
     """Rows (by, id, x) with a group number: a gap of more than the tolerance opens a new one."""
@@ -110,53 +115,88 @@ _EDGES = ("left", "top", "right", "bottom")
 def group_into_lines(boxes: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """page, line, position, ord and edges: boxes in order of their middle join the line whose running mean is near enough."""
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        y = ((df["top"] + df["bottom"]) / 2).to_numpy()
-        ords, left = df["ord"].to_numpy(), df["left"].to_numpy()
-        order = np.lexsort((ords, left, y))
-        lines, now, total = [], [], 0.0
-        for i in order:
-            if now and abs(y[i] - total / len(now)) > tolerance:
-                lines.append(now)
-                now, total = [], 0.0
-            now.append(i)
-            total += y[i]
-        if now:
-            lines.append(now)
-        lines.sort(key=lambda g: y[g].mean())
-        rows = [(n, p, i) for n, g in enumerate(lines) for p, i in enumerate(sorted(g, key=lambda i: (left[i], ords[i])))]
-        n, p, i = np.array(rows, np.int64).reshape(-1, 3).T
-        return df.iloc[i][["page", "ord", *_EDGES]].assign(line=n, position=p)[["page", "line", "position", "ord", *_EDGES]]
-
-    return boxes.groupBy("page").applyInPandas(run, "page long, line int, position int, ord long, left double, top double, right double, bottom double")
+    def run(p: np.ndarray, box: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        y, left, ords = (box["top"] + box["bottom"]) / 2, box["left"], box["ord"]
+        order = np.lexsort((ords, left, y, p))
+        p, y = p[order], y[order]
+        page = np.append(True, p[1:] != p[:-1])
+        opens = page | np.append(True, y[1:] - y[:-1] > tolerance)
+        # middles within the tolerance of each other are one line; only wider runs need the mean as it moves
+        at = np.flatnonzero(opens)
+        end = np.append(at[1:], len(y))
+        for a, b in zip(at[wide := ~(y[end - 1] - y[at] < tolerance)].tolist(), end[wide].tolist(), strict=True):
+            total, n = 0.0, 0
+            for i in range(a, b):
+                if n and abs(y[i] - total / n) > tolerance:
+                    opens[i], total, n = True, 0.0, 0
+                total, n = total + y[i], n + 1
+        line = np.cumsum(opens)
+        inner = np.lexsort((ords[order], left[order], line))
+        order, p, line = order[inner], p[inner], line[inner]
+        head = np.append(True, line[1:] != line[:-1])
+        place = np.arange(len(line))
+        position = place - np.maximum.accumulate(np.where(head, place, 0))
+        base = np.maximum.accumulate(np.where(np.append(True, p[1:] != p[:-1]), line, 0))
+        return {"of": order, "line": (line - base).astype(np.int32), "position": position.astype(np.int32)}
+
+    out = {"line": "int", "position": "int"}
+    return _by_page(boxes, ("ord", *_EDGES), run, ("line", "position", "ord", *_EDGES), out)
+
+
+def _by_page(boxes: DataFrame, names: tuple[str, ...], run: Callable, wanted: tuple[str, ...], made: dict[str, str]) -> DataFrame:
+    """page and the wanted columns: `run` gets the boxes of many whole pages (page numbers in a batch, columns by name) and returns which
+    row each of its rows is `of`, with the columns it made."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            n = batch.column(1).value_lengths().to_numpy()
+            held = batch.column(1).flatten()
+            cols = {c: held.field(c) for c in names}
+            got = run(np.repeat(np.arange(len(n)), n), {c: v.to_numpy(zero_copy_only=False) for c, v in cols.items()})
+            of = pa.array(got["of"])
+            page = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)[got["of"]]))
+            yield pa.RecordBatch.from_arrays([page, *[pa.array(got[c]) if c in got else cols[c].take(of) for c in wanted]], names=["page", *wanted])
+
+    small_batches(boxes.sparkSession)
+    kinds = {c: "long" if c == "ord" else "double" for c in names}
+    rows = boxes.groupBy(F.col("page").cast("long").alias("page")).agg(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])).alias("boxes"))
+    return rows.mapInArrow(batches, ", ".join(["page long", *[f"{c} {made.get(c) or kinds[c]}" for c in wanted]]))
 
 
 def xy_cut(boxes: DataFrame, min_gap_x: float = 10.0, min_gap_y: float = 5.0) -> DataFrame:
-    """page, ord, region: recursive cut at the widest gap, rows first, then columns, in reading order."""
+    """page, ord, region: recursive cut at the widest gap, rows first, then columns, in reading order.
 
-    def gap(a: np.ndarray, b: np.ndarray, least: float) -> float | None:
-        order = np.argsort(a, kind="stable")
-        top = np.maximum.accumulate(b[order])[:-1]
-        width = a[order][1:] - top
-        return None if not len(width) or width.max() < least else float(top[width.argmax()] + width.max() / 2)
+    The regions of all pages of a batch are cut at once. Gaps between rows stay whatever else is cut, so all of them are cut in one
+    step; of columns only the widest gap of a region is, as its parts may have rows apart again.
+    """
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        l, t, r, b = (df[c].to_numpy() for c in ("left", "top", "right", "bottom"))
-        out = np.zeros(len(df), int)
-        regions, todo = 0, [np.arange(len(df))]
-        while todo:
-            g = todo.pop()
-            for lo, hi, least in ((t, b, min_gap_y), (l, r, min_gap_x)):
-                at = gap(lo[g], hi[g], least)
-                if at is not None:
-                    todo += [g[lo[g] > at], g[lo[g] <= at]]
-                    break
-            else:
-                out[g] = regions
-                regions += 1
-        return pd.DataFrame({"page": key[0], "ord": df["ord"], "region": out})
-
-    return boxes.groupBy("page").applyInPandas(run, "page long, ord long, region int")
+    def cut(region: np.ndarray, a: np.ndarray, rank: np.ndarray, ends: np.ndarray, least: float, widest: bool) -> tuple[np.ndarray, bool]:
+        order = np.lexsort((a, region))
+        r, n = region[order], np.int64(len(ends))
+        same = r[1:] == r[:-1]
+        top = ends[np.maximum.accumulate(rank[order] + r * n) - r * n][:-1]
+        width = a[order][1:] - top
+        at = np.flatnonzero(same & (width >= least))
+        if widest and len(at):
+            best = np.lexsort((at, -width[at], r[at]))
+            at = at[best][np.append(True, r[at][1:] != r[at][:-1])]
+        opens = np.append(True, ~same)
+        opens[at + 1] = True
+        out = np.empty_like(region)
+        out[order] = np.cumsum(opens) - 1
+        return out, bool(len(at))
+
+    def run(p: np.ndarray, box: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        region, more = p.astype(np.int64), len(p) > 0
+        (bottoms, b), (rights, r) = (np.unique(box[c], return_inverse=True) for c in ("bottom", "right"))
+        while more:
+            region, _ = cut(region, box["top"], b, bottoms, min_gap_y, widest=False)
+            region, more = cut(region, box["left"], r, rights, min_gap_x, widest=True)
+        first = np.full(int(p.max()) + 1 if len(p) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(first, p, region)
+        return {"of": np.arange(len(p)), "region": (region - first[p]).astype(np.int32)}
+
+    return _by_page(boxes, ("ord", *_EDGES), run, ("ord", "region"), {"region": "int"})
 
 
 def headers_footers(boxes: DataFrame, share: float = 0.5, margin: float = 0.1) -> DataFrame:
@@ -242,6 +282,7 @@ def paragraph_breaks(lines: DataFrame, method: str = "otsu", relative: float = 1
         raise ValueError(f"unknown method {method}")
     w = Window.partitionBy("page").orderBy("top", "line")
     g = lines.withColumn("gap", (F.col("top") - F.lag("bottom").over(w)).cast("double"))
+    g = materialize(g.select("page", "line", "gap"), "gaps")  # read three times
     known = g.where("gap IS NOT NULL")
     cut = otsu(known.select("page", F.col("gap").alias("x")), "page").select("page", "threshold", "above")
     ordered = F.array_sort(F.collect_list("gap"))
@@ -261,6 +302,7 @@ def table_regions(placed: DataFrame, least_cols: int = 2, least_rows: int = 2, t
     placed: boxes with their line. Left edges of a page are clustered; a column is a cluster that so many lines have, and a box
     belongs to it within the tolerance of the cluster's mean.
     """
+    placed = materialize(placed.select("page", "line", "ord", *_EDGES), "placed")  # read twice
     got = cluster_1d(placed.select("page", "line", F.col("ord").alias("id"), F.col("left").cast("double").alias("x")), tolerance, "page")
     columns = got.groupBy("page", "g").agg(F.avg("x").alias("at"), F.count_distinct("line").alias("rows")).where(F.col("rows") >= least_rows)
     held = got.join(columns, ["page", "g"]).where(F.abs(F.col("x") - F.col("at")) <= tolerance).groupBy("page", "line").agg(F.count_distinct("g").alias("columns"))
